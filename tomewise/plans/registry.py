@@ -280,10 +280,11 @@ def foldin_error(spark, sf):
 
 @query
 def best_config(spark, sf):
-    order = [(a, i) for a in GRID_ALPHAS for i in GRID_ITERATIONS]
-    place = F.array_position(
-        F.array(*[F.struct(F.lit(a), F.lit(i)) for a, i in order]), F.struct("alpha", "iterations")
-    )
+    grid_place = [
+        F.array_position(F.array(*[F.lit(v) for v in values]), F.col(name))
+        for name, values in (("alpha", GRID_ALPHAS), ("iterations", GRID_ITERATIONS))
+    ]
+    place = grid_place[0] * len(GRID_ITERATIONS) + grid_place[1]
     means = _grid_errors(spark, sf).groupBy("alpha", "iterations").agg(F.avg("error").alias("error"))
     best = als.best_config(rounded(means, "error", decimals=5).withColumn("position", place), "error")
     return best.drop("position")

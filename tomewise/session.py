@@ -30,7 +30,9 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
         .appName("tomewise")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
     )
     for key, value in SQL_SETTINGS.items():
