@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ID_BUCKET_BITS = 16
 
@@ -24,3 +24,12 @@ def spread_missing(key: Column, *row_id: str) -> Column:
     """
     filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*row_id), F.lit(4096)).cast("string"))
     return F.coalesce(key.cast("string"), filler)
+
+
+def spread(df: DataFrame, key: str = "user_id") -> DataFrame:
+    """Hash partitions by key in the session's full number of shuffle partitions.
+
+    Meant for compute-heavy steps on thin rows: partitions asked for by number are not merged at
+    run time on account of their small size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

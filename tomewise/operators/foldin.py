@@ -11,32 +11,38 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tomewise.functions.scalars import dot
-from tomewise.functions.skew import ID_BUCKET_BITS, id_bucket
+from tomewise.functions.skew import ID_BUCKET_BITS, id_bucket, spread
 
 EPS = 1e-6
 START = 0.5
 ALPHA = 0.01
 ITERATIONS = 100
+CHUNK_LIMIT = 1 << ID_BUCKET_BITS
 
 
-def factor_rank(factors: DataFrame) -> int:
-    """Length of the factor vectors, read from one row."""
-    row = factors.select(F.size("features").alias("k")).head()
-    if row is None:
+def factor_size(factors: DataFrame) -> tuple[int, int]:
+    """Number of factor vectors and their length."""
+    row = factors.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("k")).head()
+    if not row["n"]:
         raise ValueError("the factor matrix is empty")
-    return row["k"]
+    return row["n"], row["k"]
 
 
-def _known(ratings: DataFrame, item_factors: DataFrame) -> DataFrame:
-    """Ratings of items that have factors, with their bucket; thin rows, factors are added later."""
+def _known(ratings: DataFrame, item_factors: DataFrame, n_items: int, chunk_limit: int) -> DataFrame:
+    """Ratings of items that have factors, with their chunk; thin rows, factors are added later.
+
+    A user cannot have more known ratings than there are items, so up to ``chunk_limit`` items all
+    ratings of a user are one chunk. Beyond, the chunks are ranges of item ids.
+    """
     ids = item_factors.select(F.col("id").alias("book_id"))
+    chunk = F.lit(0).cast("bigint") if n_items <= chunk_limit else id_bucket("book_id").cast("bigint")
     return (
         ratings.select("user_id", "book_id", F.col("rating").cast("double").alias("rating"))
         .join(ids, "book_id", "left_semi")
-        .withColumn("bucket", id_bucket("book_id"))
+        .withColumn("chunk", chunk)
     )
 
 
@@ -45,7 +51,7 @@ def foldin_nonneg(
     item_factors: DataFrame,
     alphas: Sequence[float] = (ALPHA,),
     iterations: Sequence[int] = (ITERATIONS,),
-    rank: int | None = None,
+    chunk_limit: int = CHUNK_LIMIT,
 ) -> DataFrame:
     """Non-negative fold-in for every (alpha, iterations): user_id, alpha, iterations, features.
 
@@ -56,42 +62,50 @@ def foldin_nonneg(
         q^(N B) u0 + (1 - q^(N B)) / (1 - q^B) * sum_j alpha q^(B - j) t_j
 
     whose sum splits over ordered chunks: inside a chunk only the distance to its end counts, and
-    q^(ratings after the chunk) places it. ``ratings`` has one row per (user, book).
+    every later chunk of n ratings multiplies what came before by q^n. ``ratings`` has one row per
+    (user, book).
     """
-    rank = rank or factor_rank(item_factors)
-    chunk = Window.partitionBy("user_id", "bucket")
-    placed = _known(ratings, item_factors).select(
-        "user_id", "bucket", "book_id", "rating",
-        (F.count("*").over(chunk) - F.row_number().over(chunk.orderBy("book_id"))).alias("to_end"),
+    n_items, rank = factor_size(item_factors)
+    ordered = Window.partitionBy("user_id", "chunk").orderBy("book_id")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = _known(ratings, item_factors, n_items, chunk_limit).select(
+        "user_id", "chunk", "book_id", "rating",
+        (F.count("*").over(whole) - F.row_number().over(ordered)).alias("to_end"),
     )
     norm = F.nullif(dot("features", "features"), F.lit(0.0))
     steps = item_factors.select(
         F.col("id").alias("book_id"),
         F.transform("features", lambda x: x.cast("double") / norm).alias("step"),
     )
-    sized = placed.join(steps, "book_id").withColumn(
-        "alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
+    weighted = placed.join(steps, "book_id").select(
+        "user_id", "chunk", "to_end", "rating", "step",
+        F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"),
+    ).withColumn("weight", F.expr("alpha * pow(1 - alpha, cast(to_end AS DOUBLE))"))
+    # A zero item vector has no step; its target is eps in every dimension (greatest skips null).
+    sums = [F.expr(f"sum(weight * greatest(rating * step[{d}], {EPS}D)) AS s{d}") for d in range(rank)]
+    chunks = weighted.groupBy("user_id", "alpha", "chunk").agg(F.count("*").alias("n"), *sums).select(
+        "user_id", "alpha",
+        F.expr(f"struct(chunk, n, array({', '.join(f's{d}' for d in range(rank))}) AS s) AS part"),
     )
-    q = F.lit(1.0) - F.col("alpha")
-    weight = F.col("alpha") * F.pow(q, F.col("to_end").cast("double"))
-    # A zero item vector has no step; its target is eps in every dimension.
-    target = [F.greatest(F.coalesce(F.col("rating") * F.get("step", F.lit(d)), F.lit(EPS)), F.lit(EPS)) for d in range(rank)]
-    partial = sized.groupBy("user_id", "bucket", "alpha").agg(
-        F.count("*").alias("n"), *[F.sum(weight * target[d]).alias(f"s{d}") for d in range(rank)]
+    # One chunk per user, or at most 2**16 of them with very many items.
+    users = chunks.groupBy("user_id", "alpha").agg(
+        F.sum("part.n").cast("double").alias("b"), F.array_sort(F.collect_list("part")).alias("parts")
     )
-    # At most 2**16 chunks of one user, in practice one or two.
-    user = Window.partitionBy("user_id", "alpha")
-    later = user.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    shifted = partial.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)))
-    shift = F.pow(q, F.col("after").cast("double"))
-    whole = shifted.groupBy("user_id", "alpha").agg(
-        F.sum("n").cast("double").alias("b"), *[F.sum(shift * F.col(f"s{d}")).alias(f"s{d}") for d in range(rank)]
-    ).withColumn("iterations", F.explode(F.array(*[F.lit(int(i)) for i in iterations])))
-    left = F.pow(q, F.col("b") * F.col("iterations"))
-    scale = (F.lit(1.0) - left) / (F.lit(1.0) - F.pow(q, F.col("b")))
-    return whole.select(
+    q = F.lit(1.0) - F.col("alpha")
+
+    def append(done: Column, part: Column) -> Column:
+        kept = F.pow(q, part["n"].cast("double"))
+        return F.zip_with(done, part["s"], lambda old, new: old * kept + new)
+
+    moved = users.select(
+        "user_id", "alpha", "b",
+        F.aggregate("parts", F.array_repeat(F.lit(0.0), rank), append).alias("moved"),
+        F.explode(F.array(*[F.lit(int(i)) for i in iterations])).alias("iterations"),
+    ).withColumn("rest", F.pow(q, F.col("b") * F.col("iterations")))
+    scale = (F.lit(1.0) - F.col("rest")) / (F.lit(1.0) - F.pow(q, F.col("b")))
+    return moved.withColumn("scale", scale).select(
         "user_id", "alpha", "iterations",
-        F.array(*[left * START + scale * F.col(f"s{d}") for d in range(rank)]).alias("features"),
+        F.transform("moved", lambda x: F.col("rest") * START + F.col("scale") * x).alias("features"),
     )
 
 
@@ -129,7 +143,7 @@ def _factor_rows(user_id: int, settings: list[tuple[float, int]], vectors: list[
     })
 
 
-MAP_SCHEMA = "user_id long, alpha double, bucket long, a array<double>, b array<double>"
+MAP_SCHEMA = "user_id long, alpha double, chunk long, a array<double>, b array<double>"
 FACTOR_SCHEMA = "user_id long, alpha double, iterations int, features array<double>"
 
 
@@ -138,13 +152,13 @@ def foldin_gradient(
     item_factors: DataFrame,
     alphas: Sequence[float] = (ALPHA,),
     iterations: Sequence[int] = (ITERATIONS,),
-    chunk_limit: int = 1 << ID_BUCKET_BITS,
+    chunk_limit: int = CHUNK_LIMIT,
 ) -> DataFrame:
     """Gradient fold-in for every (alpha, iterations): user_id, alpha, iterations, features.
 
     A rating r of an item v moves the vector by the affine map u <- (I - 2 alpha v v') u + 2 alpha r v.
-    The maps of one pass compose to a single map, and N passes are its N-th power. A user with more
-    than ``chunk_limit`` ratings is split by id bucket: the buckets' maps are composed in parallel
+    The maps of one pass compose to a single map, and N passes are its N-th power. With more than
+    ``chunk_limit`` items a user's ratings come in chunks: the chunks' maps are composed in parallel
     and then multiplied in order. Values that diverge come out as non-finite numbers.
     """
     alpha_values = [float(a) for a in alphas]
@@ -171,13 +185,13 @@ def foldin_gradient(
         return pa.table({
             "user_id": pa.array([table["user_id"][0].as_py()] * n, pa.int64()),
             "alpha": pa.array(alpha_values, pa.float64()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int64()),
+            "chunk": pa.array([table["chunk"][0].as_py()] * n, pa.int64()),
             "a": pa.array([a.ravel() for a, _ in maps], pa.list_(pa.float64())),
             "b": pa.array([b for _, b in maps], pa.list_(pa.float64())),
         })
 
     def combine(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bucket")
+        table = table.sort_by("chunk")
         alpha, k = table["alpha"][0].as_py(), len(table["b"][0])
         a, b = np.eye(k), np.zeros(k)
         with np.errstate(all="ignore"):
@@ -190,13 +204,12 @@ def foldin_gradient(
     factors = item_factors.select(
         F.col("id").alias("book_id"), F.col("features").cast("array<double>").alias("features")
     )
-    known = _known(ratings, item_factors)
-    heavy = known.groupBy("user_id").count().where(F.col("count") > chunk_limit).select("user_id")
-    light_rows = known.join(heavy, "user_id", "left_anti").join(factors, "book_id")
-    heavy_rows = known.join(heavy, "user_id", "left_semi").join(factors, "book_id")
-    light = light_rows.groupBy("user_id").applyInArrow(whole_user, FACTOR_SCHEMA)
-    maps = heavy_rows.groupBy("user_id", "bucket").applyInArrow(chunk_maps, MAP_SCHEMA)
-    return light.unionByName(maps.groupBy("user_id", "alpha").applyInArrow(combine, FACTOR_SCHEMA))
+    n_items, _ = factor_size(item_factors)
+    rated = _known(ratings, item_factors, n_items, chunk_limit).join(factors, "book_id")
+    if n_items <= chunk_limit:
+        return spread(rated).groupBy("user_id").applyInArrow(whole_user, FACTOR_SCHEMA)
+    maps = rated.groupBy("user_id", "chunk").applyInArrow(chunk_maps, MAP_SCHEMA)
+    return maps.groupBy("user_id", "alpha").applyInArrow(combine, FACTOR_SCHEMA)
 
 
 def foldin_error(ratings: DataFrame, item_factors: DataFrame, user_factors: DataFrame) -> DataFrame:

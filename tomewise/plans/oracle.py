@@ -256,7 +256,9 @@ STATEMENTS: dict[str, str] = {
     "reviews_limited_full": """
         SELECT best_book_id, asin, reviewer_id, helpful_yes || '/5' AS helpful, overall, summary, review_text,
                unix_review_time FROM reviews""",
-    "unresolved_asins": "SELECT DISTINCT asin FROM reviews_raw WHERE asin NOT IN (SELECT isbn FROM isbn_map_raw)",
+    "unresolved_asins": """
+        SELECT DISTINCT asin FROM reviews_raw WHERE asin NOT IN
+        (SELECT isbn FROM isbn_map WHERE best_book_id IN (SELECT best_book_id FROM english))""",
     "resolve_user_shelf": "SELECT * FROM shelf",
     "shelf_coverage": """
         SELECT user_id, count(*) AS books_read,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tomewise.operators import als, clean, foldin, groups, profile, rankings, resolve, scoring, splits, themes
@@ -24,8 +25,19 @@ ALS_RANKS = [6, 10]
 ALS_REG_PARAMS = [0.05, 0.1]
 
 
+# Tables a query keeps in storage because several of its branches read them; the next query frees them.
+HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while HELD:
+            HELD.pop().unpersist()
         return fn(tune(spark), sf_dir)
 
     QUERIES[fn.__name__] = run
@@ -40,6 +52,10 @@ def isbn_map(spark: SparkSession, sf: str) -> DataFrame:
     return clean.clean_isbn_map(src.isbn_map_raw(spark, sf))
 
 
+def isbn_map_english(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.limit_isbn_map(isbn_map(spark, sf), clean.english_books(src.books_detail(spark, sf)))
+
+
 def classified(spark: SparkSession, sf: str) -> DataFrame:
     return clean.classify_books(
         src.books(spark, sf), src.book_authors(spark, sf).drop("role"), src.authors(spark, sf)
@@ -55,7 +71,7 @@ def limited(spark: SparkSession, sf: str) -> DataFrame:
 
 def recommender(spark: SparkSession, sf: str, **options) -> Recommender:
     return Recommender(
-        src.ratings(spark, sf), src.books(spark, sf), classified(spark, sf), src.item_factors(spark, sf), **options
+        hold(src.ratings(spark, sf)), src.books(spark, sf), hold(classified(spark, sf)), src.item_factors(spark, sf), **options
     )
 
 
@@ -97,7 +113,7 @@ def isbn_map_clean(spark, sf):
 
 @query
 def isbn_map_limited(spark, sf):
-    return clean.limit_isbn_map(isbn_map(spark, sf), clean.english_books(src.books_detail(spark, sf)))
+    return isbn_map_english(spark, sf)
 
 
 @query
@@ -152,7 +168,7 @@ def reviews_limited_full(spark, sf):
 
 @query
 def unresolved_asins(spark, sf):
-    return resolve.unresolved_asins(src.reviews_raw(spark, sf), src.isbn_map_raw(spark, sf))
+    return resolve.unresolved_asins(src.reviews_raw(spark, sf), isbn_map_english(spark, sf))
 
 
 @query
@@ -355,7 +371,7 @@ def topk_per_category(spark, sf):
 @query
 def recommend_from_shelf(spark, sf):
     rows = recommend_shelves(
-        src.shelf_raw(spark, sf), src.books(spark, sf), isbn_map(spark, sf), classified(spark, sf),
+        src.shelf_raw(spark, sf), src.books(spark, sf), isbn_map(spark, sf), hold(classified(spark, sf)),
         src.item_factors(spark, sf), TOP_N,
     )
     return rounded(rows, "boosted_rating")
@@ -447,6 +463,7 @@ def review_tfidf(spark, sf):
 
 def _clusters(spark, sf, k=themes.CLUSTERS):
     vectors, words = themes.theme_vectors(limited(spark, sf))
+    HELD.append(vectors)
     model, labels = themes.cluster(vectors, k)
     return model, labels, words
 
