@@ -26,10 +26,11 @@ def spread_missing(key: Column, *row_id: str) -> Column:
     return F.coalesce(key.cast("string"), filler)
 
 
-def spread(df: DataFrame, key: str = "user_id") -> DataFrame:
-    """Hash partitions by key in the session's full number of shuffle partitions.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by the keys in the session's full number of shuffle partitions.
 
     Meant for compute-heavy steps on thin rows: partitions asked for by number are not merged at
-    run time on account of their small size.
+    run time on account of their small size. Where the following step groups or joins by the same
+    keys this is its shuffle, not one more.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -39,11 +39,12 @@ def _known(ratings: DataFrame, item_factors: DataFrame, n_items: int, chunk_limi
     """
     ids = item_factors.select(F.col("id").alias("book_id"))
     chunk = F.lit(0).cast("bigint") if n_items <= chunk_limit else id_bucket("book_id").cast("bigint")
-    return (
+    rows = (
         ratings.select("user_id", "book_id", F.col("rating").cast("double").alias("rating"))
         .join(ids, "book_id", "left_semi")
         .withColumn("chunk", chunk)
     )
+    return spread(rows, "user_id") if n_items <= chunk_limit else spread(rows, "user_id", "chunk")
 
 
 def foldin_nonneg(
@@ -207,7 +208,7 @@ def foldin_gradient(
     n_items, _ = factor_size(item_factors)
     rated = _known(ratings, item_factors, n_items, chunk_limit).join(factors, "book_id")
     if n_items <= chunk_limit:
-        return spread(rated).groupBy("user_id").applyInArrow(whole_user, FACTOR_SCHEMA)
+        return rated.groupBy("user_id").applyInArrow(whole_user, FACTOR_SCHEMA)
     maps = rated.groupBy("user_id", "chunk").applyInArrow(chunk_maps, MAP_SCHEMA)
     return maps.groupBy("user_id", "alpha").applyInArrow(combine, FACTOR_SCHEMA)
 
