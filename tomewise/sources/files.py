@@ -120,21 +120,15 @@ def read_book_authors_xml(spark: SparkSession, path: str | Sequence[str]) -> Dat
 
 def read_book_xml_errors(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.xml") -> DataFrame:
     """Names of the files that yield no well-formed book: malformed, truncated or without a book."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-        .select(F.col("path").alias("file"))
-    )
+    def plain(path_column: str):
+        return F.regexp_replace(path_column, "^[a-z0-9]+:/+", "/")
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(plain("path").alias("file"))
     good = (
-        _book_xml(spark, path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").isNull().alias("ok"))
-        .where("ok").select("file").distinct()
-    )
-    def name(c: str):
-        return F.element_at(F.split(F.col(c), "/"), -1)
-    return (
-        files.select(name("file").alias("file_name"))
-        .join(good.select(name("file").alias("file_name")), "file_name", "left_anti")
+        _book_xml(spark, path).where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull())
+        .select(plain("_metadata.file_path").alias("file")).distinct()
     )
+    return files.join(good, "file", "left_anti").select(F.element_at(F.split("file", "/"), -1).alias("file_name"))
 
 
 def read_shelf_xml(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
