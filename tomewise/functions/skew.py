@@ -34,3 +34,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     keys this is its shuffle, not one more.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread_unsplit(df: DataFrame) -> DataFrame:
+    """Redistribute rows that arrive in fewer partitions than the cluster runs at once.
+
+    Meant before costly per-row work on files that cannot be split; larger inputs pass unchanged.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

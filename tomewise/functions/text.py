@@ -20,45 +20,55 @@ hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't sh
 shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 
-# ASCII punctuation, as a regular-expression class.
-PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
-
-# Characters that always part words, then comma or colon unless a digit follows, then a full stop
-# at the end of a word.
-HARD_BREAK_PATTERN = "[;@#$%&?!()\\[\\]{}<>\" \t\n\r\f\u000b\u00a0]+|--+|\\.\\.\\.+"
-SOFT_BREAK_PATTERN = r"[:,]([^0-9]|$)"
+# ASCII punctuation.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Characters that always part words.
+BREAK_CHARS = ";@#$%&?!()[]{}<>\"\t\n\r\f\u000b\u00a0"
+# Comma or colon unless a digit follows, dashes and dots in a row.
+BREAK_PATTERN = r"[:,]([^0-9]|$)|--+|\.\.\.+"
+# A full stop at the end of a word.
 FULL_STOP_PATTERN = r"\.( |$)"
 # Clitics that stand as their own token: don't -> do n't, book's -> book 's.
 CLITIC_PATTERN = r"([^' ])(n't|'ll|'re|'ve|'s|'m|'d)( |$)"
 
 
+def split_words(text: Column | str) -> Column:
+    """Lower-case words without punctuation in order of appearance, with some empty ones between.
+
+    Character maps do most of the work; the costly clitic pattern only sees texts with an apostrophe.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    parted = F.translate(F.lower(text), BREAK_CHARS, " " * len(BREAK_CHARS))
+    parted = F.regexp_replace(parted, BREAK_PATTERN, " $1")
+    clitics = F.regexp_replace(F.regexp_replace(parted, FULL_STOP_PATTERN, " "), CLITIC_PATTERN, "$1 $2$3")
+    parted = F.when(F.contains(text, F.lit("'")), clitics).otherwise(parted)
+    return F.split(F.translate(parted, PUNCTUATION, ""), " ")
+
+
 def tokens(text: Column | str) -> Column:
     """Array of lower-case words without punctuation; order and repeats kept."""
-    parted = F.regexp_replace(F.lower(text), HARD_BREAK_PATTERN, " ")
-    parted = F.regexp_replace(parted, SOFT_BREAK_PATTERN, " $1")
-    parted = F.regexp_replace(parted, FULL_STOP_PATTERN, " ")
-    parted = F.regexp_replace(parted, CLITIC_PATTERN, "$1 $2$3")
-    parted = F.regexp_replace(parted, PUNCTUATION_CLASS, "")
-    return F.filter(F.split(parted, " +"), lambda word: word != "")
+    return F.filter(split_words(text), lambda word: word != "")
 
 
-def drop_stop_words(words: Column | str, stop_words: Iterable[str] = STOP_WORDS) -> Column:
-    stops = list(stop_words)
-    return F.filter(words, lambda word: ~word.isin(stops))
+def keep_word(word: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
+    """Condition for a word that is neither empty nor a stop word."""
+    return ~word.isin("", *stop_words)
 
 
-# Noun endings and what replaces them, first match wins.
+# Plural endings and what replaces them, first match wins, and endings left alone.
 NOUN_ENDINGS = [
-    ("(s|x|z|ch|sh)es$", "$1"),
-    ("ies$", "y"),
-    ("([^s])s$", "$1"),
+    ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("ies", "y"), ("s", ""),
 ]
-KEPT_ENDINGS = "(ss|us|is)$"
+KEPT_ENDINGS = ["ss", "us", "is"]
 
 
 def singular(word: Column) -> Column:
     """Suffix rules for plural nouns; words of three letters or fewer stay as they are."""
-    result = word
-    for ending, replacement in reversed(NOUN_ENDINGS):
-        result = F.when(word.rlike(ending), F.regexp_replace(word, ending, replacement)).otherwise(result)
-    return F.when((F.length(word) <= 3) | word.rlike(KEPT_ENDINGS), word).otherwise(result)
+    kept = F.length(word) <= 3
+    for ending in KEPT_ENDINGS:
+        kept = kept | word.endswith(ending)
+    result = F.when(kept, word)
+    for ending, replacement in NOUN_ENDINGS:
+        stem = F.left(word, F.length(word) - len(ending))
+        result = result.when(word.endswith(ending), F.concat(stem, F.lit(replacement)))
+    return result.otherwise(word)

@@ -15,7 +15,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tomewise.functions.text import STOP_WORDS, drop_stop_words, singular, tokens
+from tomewise.functions.text import STOP_WORDS, keep_word, singular, split_words
 
 MAX_FEATURES = 1000
 CLUSTERS = 13
@@ -57,10 +57,10 @@ def reviews_by_book(
 
 def review_tokens(reviews: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """One row per kept word of a review: best_book_id, review_id, word."""
-    words = drop_stop_words(tokens("review_text"), stop_words)
-    return reviews.where("review_text IS NOT NULL").select(
-        "best_book_id", "review_id", F.explode(words).alias("word")
+    words = reviews.where("review_text IS NOT NULL").select(
+        "best_book_id", "review_id", F.explode(split_words("review_text")).alias("word")
     )
+    return words.where(keep_word(F.col("word"), stop_words))
 
 
 def term_counts(words: DataFrame) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from tomewise.functions.hashing import hash_fraction_sql
 from tomewise.functions.text import (
-    CLITIC_PATTERN, FULL_STOP_PATTERN, HARD_BREAK_PATTERN, KEPT_ENDINGS, NOUN_ENDINGS, PUNCTUATION_CLASS,
-    SOFT_BREAK_PATTERN, STOP_WORDS,
+    BREAK_PATTERN, CLITIC_PATTERN, FULL_STOP_PATTERN, KEPT_ENDINGS, NOUN_ENDINGS, STOP_WORDS,
 )
 from tomewise.plans.recommend import OTHER_THEMES, THEME_NAMES
 
@@ -18,9 +17,13 @@ def _in_list(words) -> str:
     return "(" + ", ".join(text_literal(w) for w in words) + ")"
 
 
+HARD_BREAKS = "[;@#$%&?!()\\[\\]{}<>\" \t\n\r\f\u000b\u00a0]+"
+PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
+
+
 def _regex_chain(expr: str) -> str:
     steps = [
-        (HARD_BREAK_PATTERN, " "), (SOFT_BREAK_PATTERN, r" \1"), (FULL_STOP_PATTERN, " "),
+        (HARD_BREAKS, " "), (BREAK_PATTERN, r" \1"), (FULL_STOP_PATTERN, " "),
         (CLITIC_PATTERN, r"\1 \2\3"), (PUNCTUATION_CLASS, ""),
     ]
     expr = f"lower({expr})"
@@ -31,11 +34,10 @@ def _regex_chain(expr: str) -> str:
 
 def _singular(word: str) -> str:
     cases = "".join(
-        f" WHEN regexp_matches({word}, {text_literal(p)}) "
-        f"THEN regexp_replace({word}, {text_literal(p)}, {text_literal(r.replace('$1', chr(92) + '1'))})"
-        for p, r in NOUN_ENDINGS
+        f" WHEN ends_with({word}, '{old}') THEN left({word}, length({word}) - {len(old)}) || '{new}'"
+        for old, new in NOUN_ENDINGS
     )
-    kept = f"length({word}) <= 3 OR regexp_matches({word}, {text_literal(KEPT_ENDINGS)})"
+    kept = " OR ".join([f"length({word}) <= 3", *(f"ends_with({word}, '{e}')" for e in KEPT_ENDINGS)])
     return f"CASE WHEN {kept} THEN {word}{cases} ELSE {word} END"
 
 

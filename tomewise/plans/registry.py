@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tomewise.functions.skew import spread_unsplit
 from tomewise.operators import als, clean, foldin, groups, profile, rankings, resolve, scoring, splits, themes
 from tomewise.plans import grids
 from tomewise.plans.recommend import Recommender, recommend_shelves
@@ -64,7 +65,7 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
 
 def limited(spark: SparkSession, sf: str) -> DataFrame:
     """Known reviews with their order of arrival, the input of the theme operators."""
-    reviews = src.reviews_raw(spark, sf)
+    reviews = spread_unsplit(src.reviews_raw(spark, sf).select("asin", "review_id", "reviewText"))
     known = isbn_map(spark, sf).withColumnRenamed("isbn", "asin")
     return reviews.join(known, "asin").select("best_book_id", "review_id", F.col("reviewText").alias("review_text"))
 
@@ -456,7 +457,7 @@ def review_lemmas(spark, sf):
 @query
 def review_tfidf(spark, sf):
     reviews = limited(spark, sf)
-    counts = themes.lemmatise(themes.term_counts(themes.review_tokens(reviews)))
+    counts = hold(themes.lemmatise(themes.term_counts(themes.review_tokens(reviews))))
     n_books = themes.reviewed_books(reviews).agg(F.count("*")).scalar()
     return rounded(themes.tfidf_long(counts, themes.vocabulary(counts), n_books), "weight")
 
