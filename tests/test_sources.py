@@ -5,7 +5,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tomewise.plans.tables import build_tables, build_themes
+from tomewise.plans.tables import (
+    build_tables, build_themes, convert_book_xml, limit_reviews, load_limited_reviews, load_ratings, load_review_ratings,
+)
 from tomewise.operators import als, resolve
 from tomewise.sources import factors, files
 
@@ -74,7 +76,7 @@ def test_reviews_json_and_csv_round_trip(spark, tmp_path):
     limited = resolve.limited_reviews(reviews, isbn_map)
     out = str(tmp_path / "limited")
     files.write_csv(limited, out, header=False)
-    back = files.read_csv(spark, out, files.LIMITED_REVIEW_SCHEMA, header=False)
+    back = files.read_csv(spark, out, files.LIMITED_REVIEW_SCHEMA, header=False, multi_line=True)
     got = sorted(tuple(r) for r in back.collect())
     assert got[0] == (1, "000000001X", "so, so", 'He said "no".\nThen left.')
     assert got[1][:2] == (2, "0000000002") and got[1][3] is None
@@ -133,3 +135,33 @@ def test_build_themes(spark, tmp_path):
     assert labels[0] == labels[1] != labels[2] == labels[3]
     terms = spark.read.parquet(str(tmp_path / "t" / "theme_terms"))
     assert terms.count() == 6 and "k" in terms.columns
+
+
+def test_xml_to_csv_job(spark, books_dir, tmp_path):
+    out = str(tmp_path / "csv")
+    convert_book_xml(spark, books_dir, out)
+    books = files.read_csv(spark, f"{out}/updated_books", files.BOOK_DETAIL_SCHEMA, multi_line=True)
+    assert sorted((r["book_id"], r["title"], r["best_book_id"]) for r in books.collect()) == [(1, "Salt & Smoke", 10), (3, "Plain", None)]
+    assert files.read_csv(spark, f"{out}/author_books", files.BOOK_AUTHOR_SCHEMA).count() == 3
+    assert files.read_csv(spark, f"{out}/errors", "file_name STRING").head()[0] == "2.xml"
+
+
+def test_limit_reviews_job(spark, tmp_path):
+    path = tmp_path / "r.json.gz"
+    rows = [{"asin": a, "reviewerID": "r", "helpful": [1, 2], "overall": 4.0, "summary": "s", "reviewText": "a\n\"b\"", "unixReviewTime": 5} for a in ("1", "2", "1")]
+    with gzip.open(path, "wt") as f:
+        f.write("\n".join(map(json.dumps, rows)))
+    isbn_map = spark.createDataFrame([("1", 100)], "isbn string, best_book_id long")
+    limit_reviews(spark, str(path), isbn_map, str(tmp_path / "o"))
+    ratings = load_review_ratings(spark, str(tmp_path / "o" / "limited_ratings"))
+    assert [tuple(r) for r in ratings.collect()] == [("r", 100, 4.0)] * 2
+    reviews = load_limited_reviews(spark, str(tmp_path / "o" / "limited_reviews"))
+    assert [r["review_text"] for r in reviews.collect()] == ['a\n"b"'] * 2
+    assert reviews.select("review_id").distinct().count() == 2
+
+
+def test_load_ratings_translates(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("user_id,book_id,rating\n1,1,5\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("id,book_id,best_book_id,title\n1,1,900,x\n")
+    got = sorted(map(tuple, load_ratings(spark, str(tmp_path / "r.csv"), str(tmp_path / "b.csv")).collect()), key=repr)
+    assert got == [(1, 900, 5), (1, None, 3)]

@@ -1,12 +1,12 @@
-"""Jobs that build the serving tables and the theme tables from files."""
+"""Jobs between files and tables: conversion, limiting, serving tables and themes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.operators import clean, themes
+from tomewise.operators import clean, resolve, themes
 from tomewise.sources import files
 
 BOOK_COLUMNS = [
@@ -24,11 +24,11 @@ def build_tables(
     book_authors_csv: str, isbn_map_csv: str, themes_csv: str,
 ) -> None:
     """Clean the five source files into tables books, authors, book_authors, isbn_book_id, kmeans."""
-    detail = files.read_csv(spark, books_csv, files.BOOK_DETAIL_SCHEMA, columns=BOOK_COLUMNS)
+    detail = files.read_csv(spark, books_csv, files.BOOK_DETAIL_SCHEMA, columns=BOOK_COLUMNS, multi_line=True)
     popularity = files.read_csv(spark, popularity_csv, files.BOOK_POPULARITY_SCHEMA, columns=POPULARITY_COLUMNS)
     tables = {
         "books": clean.enrich_books(clean.english_books(detail), popularity.dropDuplicates(["best_book_id"])),
-        "authors": clean.clean_authors(files.read_csv(spark, authors_csv, files.AUTHOR_SCHEMA)),
+        "authors": clean.clean_authors(files.read_csv(spark, authors_csv, files.AUTHOR_SCHEMA, multi_line=True)),
         "book_authors": files.read_csv(spark, book_authors_csv, files.BOOK_AUTHOR_SCHEMA),
         "isbn_book_id": clean.clean_isbn_map(files.read_csv(spark, isbn_map_csv, files.ISBN_MAP_SCHEMA, header=False)),
         "kmeans": files.read_csv(spark, themes_csv, files.THEME_SCHEMA),
@@ -37,6 +37,47 @@ def build_tables(
         files.write_table(table, f"{out}/{name}")
 
 
+def convert_book_xml(spark: SparkSession, xml_path: str, out: str) -> None:
+    """Saved book pages to the CSV folders updated_books, author_books and errors."""
+    files.write_csv(files.read_book_xml(spark, xml_path), f"{out}/updated_books")
+    files.write_csv(files.read_book_authors_xml(spark, xml_path), f"{out}/author_books")
+    files.write_csv(files.read_book_xml_errors(spark, xml_path), f"{out}/errors")
+
+
+def limit_reviews(spark: SparkSession, reviews_json: str, isbn_map: DataFrame, out: str) -> None:
+    """Raw reviews of known books to the headerless CSV folders limited_reviews and limited_ratings."""
+    reviews = files.read_reviews_json(spark, reviews_json)
+    files.write_csv(resolve.limited_reviews(reviews, isbn_map), f"{out}/limited_reviews", header=False)
+    ratings = resolve.limited_review_ratings(reviews, isbn_map).withColumn(
+        "helpful", F.concat(F.lit("["), F.concat_ws(", ", F.col("helpful").cast("array<string>")), F.lit("]"))
+    )
+    files.write_csv(ratings, f"{out}/limited_ratings", header=False)
+
+
+def load_ratings(spark: SparkSession, ratings_csv: str, books_csv: str | None = None) -> DataFrame:
+    """Ratings file, with local book ids translated when the book file is given."""
+    ratings = files.read_csv(spark, ratings_csv, files.RATING_SCHEMA).select("user_id", "book_id", "rating")
+    if books_csv is None:
+        return ratings
+    ids = files.read_csv(spark, books_csv, files.BOOK_POPULARITY_SCHEMA, columns=["book_id", "best_book_id"])
+    return resolve.translate_ids(ratings, ids)
+
+
+def load_review_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """user_id, book_id, rating of the limited review ratings."""
+    rows = files.read_csv(spark, path, files.LIMITED_RATING_SCHEMA, header=False)
+    return rows.select("user_id", "book_id", "rating")
+
+
+def load_limited_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Limited reviews with a review_id in file order: files by name, rows by place in their file.
+
+    Ids are increasing, not consecutive; a file is read by one task because texts hold line breaks.
+    """
+    rows = files.read_csv(spark, path, files.LIMITED_REVIEW_SCHEMA, header=False, multi_line=True)
+    return rows.withColumn("review_id", F.monotonically_increasing_id())
+
+
 def build_themes(
     reviews: DataFrame, out: str, ks: Sequence[int] = (13, 10), max_features: int = themes.MAX_FEATURES,
     n_terms: int = 15, lemmas: DataFrame | None = None,

@@ -52,15 +52,17 @@ def read_csv(
     schema: str,
     header: bool = True,
     columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV scan with a declared schema, quoted newlines and doubled quotes.
+    """CSV scan with a declared schema and doubled quotes inside quoted values.
 
     With a header the columns are matched by name, so files may hold more columns, in any order;
-    pass ``columns`` to read a subset only.
+    pass ``columns`` to read a subset only. Values with line breaks need ``multi_line``, which reads
+    each file in one task, so leave it off for the others.
     """
     reader = (
         spark.read.option("header", header)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
     )
@@ -76,7 +78,7 @@ def read_csv(
 def read_reviews_json(spark: SparkSession, path: str | Sequence[str], partitions: int | None = None) -> DataFrame:
     """Gzip JSON-lines reviews. A gzip file cannot be split, so its rows are spread after reading."""
     reviews = spark.read.schema(REVIEW_JSON_SCHEMA).json(path)
-    return reviews.repartition(partitions) if partitions else reviews.repartition()
+    return reviews.repartition(partitions) if partitions else reviews.hint("rebalance")
 
 
 def _book_xml(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
