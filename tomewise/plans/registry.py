@@ -26,19 +26,20 @@ ALS_RANKS = [6, 10]
 ALS_REG_PARAMS = [0.05, 0.1]
 
 
-# Tables a query keeps in storage because several of its branches read them; the next query frees them.
-HELD: list[DataFrame] = []
+# How to free what a query keeps in storage because several of its branches read it; the next query does.
+HELD: list[Callable[[], object]] = []
 
 
 def hold(df: DataFrame) -> DataFrame:
-    HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    HELD.append(df.unpersist)
     return df
 
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         while HELD:
-            HELD.pop().unpersist()
+            HELD.pop()()
         return fn(tune(spark), sf_dir)
 
     QUERIES[fn.__name__] = run
@@ -71,9 +72,11 @@ def limited(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recommender(spark: SparkSession, sf: str, **options) -> Recommender:
-    return Recommender(
+    job = Recommender(
         hold(src.ratings(spark, sf)), src.books(spark, sf), hold(classified(spark, sf)), src.item_factors(spark, sf), **options
     )
+    HELD.append(job.release)
+    return job
 
 
 # Sources and cleaning
@@ -312,6 +315,7 @@ def score_items(spark, sf):
     ratings, items = src.ratings(spark, sf), src.item_factors(spark, sf)
     vectors = foldin.foldin_nonneg(ratings, items).select("user_id", "features")
     catalogue = scoring.plan_catalogue(items.withColumnRenamed("id", "item_id"))
+    HELD.append(catalogue.items.unpersist)
     return scoring.score_top(vectors, catalogue, 50)
 
 
@@ -320,6 +324,7 @@ def unread_candidates(spark, sf):
     ratings, items = src.ratings(spark, sf), src.item_factors(spark, sf)
     vectors = foldin.foldin_nonneg(ratings, items).select("user_id", "features")
     catalogue = scoring.plan_catalogue(items.withColumnRenamed("id", "item_id"))
+    HELD.append(catalogue.items.unpersist)
     return scoring.score_top(vectors, catalogue, 50, scoring.read_lists(ratings, catalogue))
 
 
@@ -464,7 +469,7 @@ def review_tfidf(spark, sf):
 
 def _clusters(spark, sf, k=themes.CLUSTERS):
     vectors, words = themes.theme_vectors(limited(spark, sf))
-    HELD.append(vectors)
+    HELD.append(vectors.unpersist)
     model, labels = themes.cluster(vectors, k)
     return model, labels, words
 
