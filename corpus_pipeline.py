@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewise.llm import linededup, mixing
+from tomewise.llm import linededup, mixing, pieces
 from tomewise.llm.queries import SOURCE_WEIGHTS, table
 
 
@@ -18,9 +18,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, SOURCE_WEIGHTS).drop("copy_number")
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text; decoding gives the text back."""
+    return pieces.encode(docs, check=True).select("doc_id", "lang", "source", "ids", "n_tokens", "round_trip")
+
+
 STAGES = [
     ("line dedup", drop_repeated_lines),
     ("source mixing", mix_sources),
+    ("piece encoding", encode_pieces),
 ]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import linededup, mixing
+from tomewise.llm import linededup, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op4_line_dedup"] = linededup.LINES_SQL
+
+
+@query
+def op7_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and whether decoding them gives the text back."""
+    coded = pieces.encode(table(spark, sf_dir, "documents"), check=True)
+    return coded.select("doc_id", "ids", "n_tokens", "round_trip")
