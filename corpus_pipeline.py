@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewise.llm import linededup, mixing, pieces
+from tomewise.llm import jaccard, linededup, mixing, pieces
 from tomewise.llm.queries import SOURCE_WEIGHTS, table
 
 
@@ -23,8 +23,15 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encode(docs, check=True).select("doc_id", "lang", "source", "ids", "n_tokens", "round_trip")
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays."""
+    first = jaccard.jaccard_groups(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+
+
 STAGES = [
     ("line dedup", drop_repeated_lines),
+    ("near duplicates", keep_one_of_each),
     ("source mixing", mix_sources),
     ("piece encoding", encode_pieces),
 ]

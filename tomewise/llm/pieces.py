@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tomewise.llm.words import BUFFER_BYTES, as_bytes, mix
@@ -324,7 +325,7 @@ def decode(tokens: DataFrame, model_path: str | None = None, ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(ids_at)
-            sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
+            sizes = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], dtype=np.int64)
             ids = column.flatten().to_numpy(zero_copy_only=False)
             if len(ids) and (ids.min() < 0 or ids.max() >= len(model.value.score)):
                 raise ValueError("an id outside the vocabulary")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import linededup, mixing, pieces
+from tomewise.llm import jaccard, linededup, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,12 @@ def op7_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether decoding them gives the text back."""
     coded = pieces.encode(table(spark, sf_dir, "documents"), check=True)
     return coded.select("doc_id", "ids", "n_tokens", "round_trip")
+
+
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and class of near copies of every document."""
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_ngram_jaccard"] = jaccard.JACCARD_SQL

@@ -91,7 +91,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     padded = np.concatenate((hashes, np.zeros(width, dtype=np.uint64)))
     out = length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(width):
-        part = mix(padded[at + k] + np.uint64(k + 1) * _BASE)
+        part = mix(padded[at + k] + np.uint64((k + 1) * int(_BASE) % (1 << 64)))
         out += np.where(k < length, part, np.uint64(0)) if short.any() else part
     return mix(out), text
 
