@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import jaccard, linededup, mixing, pieces
-from tomewise.llm.queries import SOURCE_WEIGHTS, table
+from tomewise.llm import jaccard, linededup, mixing, pieces, toxicity
+from tomewise.llm.queries import SOURCE_WEIGHTS, TOXIC_FROM, table, toxicity_chain
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain rejects go; the chain is learned from the labels in `sf_dir`."""
+    scored = toxicity.score(docs, toxicity_chain(spark, sf_dir))
+    return scored.where(F.col("p_toxic") < TOXIC_FROM).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +36,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
     ("near duplicates", keep_one_of_each),
     ("source mixing", mix_sources),

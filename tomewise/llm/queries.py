@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import jaccard, linededup, mixing, pieces
+from tomewise.llm import jaccard, linededup, mixing, pieces, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,6 +15,9 @@ ORACLE: dict[str, str] = {}
 #: Target weights of the sources in `documents`: 1 to 4 in turn.
 SOURCE_WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
+#: A document is rejected from this probability of being toxic.
+TOXIC_FROM = 0.5
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -59,3 +62,19 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_ngram_jaccard"] = jaccard.JACCARD_SQL
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    """The chain low quality, toxic, learned from the labelled documents."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    categories = {"low_quality": (F.col("quality") == 0), "toxic": (F.col("toxic") == 1)}
+    return toxicity.fit_chain(known, categories)
+
+
+@query
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each category of the chain for every whole text, and whether it is rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_chain(spark, sf_dir))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC_FROM).cast("int").alias("toxic"))
