@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import jaccard, linededup, mixing, pieces, toxicity
+from tomewise.llm import bytecnn, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
+from tomewise.llm.samples import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,6 +16,8 @@ ORACLE: dict[str, str] = {}
 #: Target weights of the sources in `documents`: 1 to 4 in turn.
 SOURCE_WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
+#: Quality is predicted as 1 from this score.
+GOOD_FROM = 0.7
 #: A document is rejected from this probability of being toxic.
 TOXIC_FROM = 0.5
 
@@ -37,6 +40,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op2_mix_sources"] = mixing.mix_sql(SOURCE_WEIGHTS)
 
 
+@query
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    net = bytecnn.fit_quality(docs.join(labels, "doc_id").where(~held_out("doc_id", 4)), F.col("quality"))
+    scored = bytecnn.score(docs, net)
+    return scored.select(
+        "doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and after dropping those that an earlier document holds, and a digest of what stays."""
@@ -48,6 +62,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op4_line_dedup"] = linededup.LINES_SQL
 
 
+@query
+def op5_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under the recurrent model and under add-one counts."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lmscore.lm_scores(docs, ~held_out("doc_id", 7))
+    return scored.select(
+        "doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether decoding them gives the text back."""
@@ -64,6 +87,15 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op8_ngram_jaccard"] = jaccard.JACCARD_SQL
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit_language_model(docs.where(~held_out("doc_id", 4)), F.col("lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
     """The chain low quality, toxic, learned from the labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -27,6 +30,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def summed_counters(rows: DataFrame, count: Callable[[Iterator], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """Sum of the arrays of `size` counters that `count` yields for each task's batches.
+
+    Each task adds up its own; the tasks' arrays are summed by ranges of counters, so no task and not the driver
+    gathers more than a fixed size for each range or in all.
+    """
+    ranges = min(64, size)
+    bounds = np.linspace(0, size, ranges + 1).astype(int)
+
+    def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for part in count(batches):
+            total += part
+        for r in range(ranges):
+            part = total[bounds[r] : bounds[r + 1]]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r], pa.int32()), pa.array([at], pa.list_(pa.int32())), pa.array([part[at]], pa.list_(pa.int64())),
+                ], ["range", "at", "counts"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        r = parts.column("range")[0].as_py()
+        at, counts = (parts.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "counts"))
+        total = np.zeros(bounds[r + 1] - bounds[r], dtype=np.int64)
+        np.add.at(total, at, counts)
+        return pa.table({"range": pa.array([r], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    sums = rows.mapInArrow(run, "range int, at array<int>, counts array<long>")
+    sums = sums.groupBy("range").applyInArrow(add, "range int, counts array<long>").toArrow()
+    out = np.zeros(size, dtype=np.int64)
+    for r, counts in zip(sums.column("range").to_pylist(), sums.column("counts")):
+        out[bounds[r] : bounds[r + 1]] = counts.values.to_numpy()
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node that has an edge.
 
