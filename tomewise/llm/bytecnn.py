@@ -146,15 +146,15 @@ class ByteNet:
 
 
 def fit_quality(
-    docs: DataFrame, label: Column, per_class: int = SAMPLE_DOCUMENTS, max_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS,
+    docs: DataFrame, labels: DataFrame, label: Column, per_class: int = SAMPLE_DOCUMENTS, max_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> ByteNet:
     """Fit the network to up to `per_class` whole texts of each label (0 or 1) with up to `max_chars` characters.
 
-    `docs` holds what may be learned from; rows with a null label or text are no examples. Without examples of both
+    `docs` holds what may be learned from, `labels` the label's columns by id; rows with a null label or text are no examples. Without examples of both
     labels the network stays as it was made and says little.
     """
-    sample = labelled_sample(docs, label.cast("int"), per_class, max_chars, id_col=id_col, text_col=text_col)
+    sample = labelled_sample(docs, label.cast("int"), per_class, max_chars, labels=labels, id_col=id_col, text_col=text_col)
     net = ByteNet()
     if sample:
         net.fit([text for text, _, _ in sample], np.array([y for _, y, _ in sample], dtype=float), epochs)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import bytecnn, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
+from tomewise.llm import bytecnn, crosspoly, egojoin, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
 from tomewise.llm.samples import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_ego_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of near-equal embeddings."""
+    return egojoin.cosine_groups(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op1_ego_near_dedup"] = egojoin.cosine_sql()
+
+
 @query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight asks for, shuffled."""
@@ -45,7 +54,7 @@ def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text, learned from the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    net = bytecnn.fit_quality(docs.join(labels, "doc_id").where(~held_out("doc_id", 4)), F.col("quality"))
+    net = bytecnn.fit_quality(docs.where(~held_out("doc_id", 4)), labels, F.col("quality"))
     scored = bytecnn.score(docs, net)
     return scored.select(
         "doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
@@ -71,6 +80,12 @@ def op5_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every embedding whose id is divisible by 20."""
+    return crosspoly.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 @query
 def op7_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether decoding them gives the text back."""
@@ -99,9 +114,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
     """The chain low quality, toxic, learned from the labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     categories = {"low_quality": (F.col("quality") == 0), "toxic": (F.col("toxic") == 1)}
-    return toxicity.fit_chain(known, categories)
+    return toxicity.fit_chain(docs, labels, categories)
 
 
 @query

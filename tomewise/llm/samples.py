@@ -13,29 +13,32 @@ def held_out(id_col: str, folds: int) -> Column:
 
 def labelled_sample(
     docs: DataFrame, label: Column, per_class: int, max_chars: int, seed: int = 11, more: dict[str, Column] | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> list[tuple[bytes, object, tuple]]:
     """Up to `per_class` (text, label, further labels) of every label value, by the hash of the id, in that order.
 
-    `docs` holds what may be learned from. Rows with a null label or null text are no examples, nor are texts of more
-    than `max_chars`, so the driver gets at most classes x per_class x max_chars. The ids are picked from thin rows;
-    the texts of the picked ones alone travel.
+    `docs` holds what may be learned from; the label columns are its own or those of `labels`, joined by id. Rows with
+    a null label or null text are no examples, nor are texts of more than `max_chars`, so the driver gets at most
+    classes x per_class x max_chars. Ids are picked from thin rows; only the picked ones' texts travel.
     """
     more = more or {}
-    rows = docs.select(
-        F.col(id_col).alias("id"), label.alias("label"), F.col(text_col).alias("text"),
-        *[c.alias(f"more_{k}") for k, c in more.items()],
-    ).where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.length("text") <= max_chars))
-    order = F.xxhash64("id", F.lit(seed))
-    classes = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()]
+    thin = docs.withColumn("_chars", F.length(text_col)).drop(text_col).where(F.col("_chars") <= max_chars)
+    if labels is not None:
+        thin = thin.select(id_col, "_chars").join(labels, id_col)
+    thin = thin.select(
+        F.col(id_col).alias("id"), label.alias("label"), *[c.alias(f"more_{k}") for k, c in more.items()],
+        F.xxhash64(id_col, F.lit(seed)).alias("o"),
+    ).where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    classes = [r[0] for r in thin.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()]
     picked = None
     for value in classes:
-        some = rows.where(F.col("label") == F.lit(value)).select("id", order.alias("o")).orderBy("o").limit(per_class)
+        some = thin.where(F.col("label") == F.lit(value)).orderBy("o").limit(per_class)
         picked = some if picked is None else picked.union(some)
     if picked is None:
         return []
-    chosen = rows.join(F.broadcast(picked.distinct()), "id")  # at most classes x per_class ids
-    found = chosen.select("o", "text", "label", *[f"more_{k}" for k in more]).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = texts.join(F.broadcast(picked.dropDuplicates(["id"])), "id")  # at most classes x per_class ids
+    found = chosen.where(F.length("text") <= max_chars).select("o", "text", "label", *[f"more_{k}" for k in more]).collect()
     found.sort(key=lambda r: (r[0], r[1]))
     return [(r[1].encode(), r[2], tuple(r[3:])) for r in found]
 

@@ -138,7 +138,7 @@ class Chain:
             h, owner = text_features(texts[part])
             h, owner = _distinct(h, owner)
             hashes.append(h)
-            rows.append(owner + part.start)
+            rows.append((owner + part.start).astype(np.int32))
         hashes, rows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, rows))
         known, number, count = np.unique(hashes.astype(np.uint64), return_inverse=True, return_counts=True)
         keep = np.zeros(len(known), dtype=bool)
@@ -193,10 +193,10 @@ def _telling(number: np.ndarray, rows: np.ndarray, count: np.ndarray, target: np
 
 
 def fit_chain(
-    docs: DataFrame, categories: dict[str, Column], per_class: int = SAMPLE_DOCUMENTS, max_chars: int = SAMPLE_CHARS,
+    docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_class: int = SAMPLE_DOCUMENTS, max_chars: int = SAMPLE_CHARS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Chain:
-    """Fit the chain for 0/1 columns of labelled documents, in the given order, on a bounded sample.
+    """Fit the chain for 0/1 columns of `labels` (joined by id), in the given order, on a bounded sample.
 
     The sample is balanced on the last category: up to `per_class` documents with and without it, of up to `max_chars`
     characters. A null label counts as 0 unless it is the last one's, whose rows are left out. Without any labelled
@@ -204,7 +204,7 @@ def fit_chain(
     """
     *before, last = categories
     sample = labelled_sample(
-        docs, categories[last].cast("int"), per_class, max_chars, id_col=id_col, text_col=text_col,
+        docs, categories[last].cast("int"), per_class, max_chars, labels=labels, id_col=id_col, text_col=text_col,
         more={name: F.coalesce(categories[name].cast("int"), F.lit(0)) for name in before},
     )
     targets = np.array([[*more, label] for _, label, more in sample], dtype=float).reshape(-1, len(categories))
