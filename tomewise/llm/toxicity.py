@@ -22,6 +22,8 @@ BEGINNINGS = (4, 5, 6)
 ENDINGS = (2, 3)
 FEATURES = 4000
 MIN_DOCUMENTS = 4
+#: By how much a feature's likelihood ratio must exceed what the best of as many useless features would reach.
+MARGIN = 2.0
 FOLDS = 4
 #: Bound of the training sample: documents of each label value, and characters of a document.
 SAMPLE_DOCUMENTS = 5000
@@ -182,14 +184,23 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _telling(number: np.ndarray, rows: np.ndarray, count: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The features whose presence tells most about a target, by chi-squared."""
+    """The features whose presence tells most about a target, by the likelihood ratio of dependence.
+
+    As very many features are tried, only those count whose ratio chance would hardly reach among so many.
+    """
     n, positive = len(target), target.sum()
     inside = np.bincount(number, weights=target[rows], minlength=len(count))
-    expected = count * positive / max(n, 1)
-    spread = expected * (1 - positive / max(n, 1)) * (1 - count / max(n, 1)) + 1e-9
-    score = np.where(count >= MIN_DOCUMENTS, (inside - expected) ** 2 / spread, -1.0)
-    best = np.argsort(-score, kind="stable")[:FEATURES]
-    return best[score[best] > 4]
+
+    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12))
+
+    share = positive / max(n, 1)
+    outside, absent, absent_out = count - inside, positive - inside, (n - positive) - (count - inside)
+    ratio = 2 * (part(inside, count * share) + part(outside, count * (1 - share))
+                 + part(absent, (n - count) * share) + part(absent_out, (n - count) * (1 - share)))
+    ratio[count < MIN_DOCUMENTS] = 0
+    best = np.argsort(-ratio, kind="stable")[:FEATURES]
+    return best[ratio[best] > 2 * np.log(max(len(count), 2)) + MARGIN]
 
 
 def fit_chain(
