@@ -5,12 +5,29 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+ORDERS = 1 << 40
+
 
 def held_out(id_col: str, folds: int) -> Column:
     """Documents whose crc32 of the id as text leaves remainder 2 are not learned from; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 2
 
 
+def sample_order(id_: Column, seed: int) -> Column:
+    """A number below ORDERS hashed from the id."""
+    return F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(ORDERS))
+
+
+def first_by_hash(rows: DataFrame, count: int, wanted: int) -> DataFrame:
+    """The `wanted` rows (of about `count`) with the smallest `o`.
+
+    Rows beyond the values that twice as many have are left out first, so that what is sorted stays as small however
+    many tasks there are.
+    """
+    cut = min(ORDERS, int(ORDERS * 2.0 * (wanted + 100) / max(count, 1)) + 1)
+    return rows.where(F.col("o") < cut).orderBy("o").limit(wanted)
+
+
 def labelled_sample(
     docs: DataFrame, label: Column, per_class: int, max_chars: int, seed: int = 11, more: dict[str, Column] | None = None,
     labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -27,12 +44,12 @@ def labelled_sample(
         thin = thin.select(id_col, "_chars").join(labels, id_col)
     thin = thin.select(
         F.col(id_col).alias("id"), label.alias("label"), *[c.alias(f"more_{k}") for k, c in more.items()],
-        F.xxhash64(id_col, F.lit(seed)).alias("o"),
+        sample_order(F.col(id_col), seed).alias("o"),
     ).where(F.col("id").isNotNull() & F.col("label").isNotNull())
-    classes = [r[0] for r in thin.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()]
+    classes = thin.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()
     picked = None
-    for value in classes:
-        some = thin.where(F.col("label") == F.lit(value)).orderBy("o").limit(per_class)
+    for value, rows in classes:
+        some = first_by_hash(thin.where(F.col("label") == F.lit(value)), rows, per_class)
         picked = some if picked is None else picked.union(some)
     if picked is None:
         return []
