@@ -29,6 +29,8 @@ FOLDS = 4
 SAMPLE_DOCUMENTS = 5000
 SAMPLE_CHARS = 20_000
 TABLE_BITS = 20
+#: Features are counted in 2**RANGE_BITS ranges of their hashes.
+RANGE_BITS = 4
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -137,19 +139,18 @@ class Chain:
             return self
         hashes, rows = [], []
         for part in slices(texts):
-            h, owner = text_features(texts[part])
-            h, owner = _distinct(h, owner)
+            h, owner = _distinct(*text_features(texts[part]))
             hashes.append(h)
             rows.append((owner + part.start).astype(np.int32))
-        hashes, rows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, rows))
-        known, number, count = np.unique(hashes.astype(np.uint64), return_inverse=True, return_counts=True)
-        keep = np.zeros(len(known), dtype=bool)
-        for k in range(targets.shape[1]):
-            keep[_telling(number, rows, count, targets[:, k])] = True
-        self.vocabulary = Vocabulary(known[keep])
-        rank = np.cumsum(keep) - 1
-        feature, row = rank[number[keep[number]]], rows[keep[number]]
-        size = int(keep.sum())
+        self.vocabulary = Vocabulary(_telling(hashes, rows, targets))
+        feature, row = [], []
+        for h, owner in zip(hashes, rows):
+            f, r = self.vocabulary.look_up(h, owner)
+            feature.append(f)
+            row.append(r)
+        del hashes, rows
+        feature, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (feature, row))
+        size = len(self.vocabulary.hashes)
         fold = folds(n, FOLDS)
         dense = np.zeros((n, 0))
         for k in range(targets.shape[1]):
@@ -183,24 +184,47 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[new], owner[new]
 
 
-def _telling(number: np.ndarray, rows: np.ndarray, count: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _telling(hashes: list[np.ndarray], rows: list[np.ndarray], targets: np.ndarray) -> np.ndarray:
     """The features whose presence tells most about a target, by the likelihood ratio of dependence.
 
-    As very many features are tried, only those count whose ratio chance would hardly reach among so many.
+    As very many features are tried, only those count whose ratio chance would hardly reach among so many. They are
+    counted one range of hashes after the other, so that the work arrays stay small.
     """
+    tried, known, ratios = 0, [], []
+    for span in range(1 << RANGE_BITS):
+        inside = [(h >> np.uint64(64 - RANGE_BITS)) == span for h in hashes]
+        some = [h[i] for h, i in zip(hashes, inside)]
+        if not any(map(len, some)):
+            continue
+        owner = np.concatenate([r[i] for r, i in zip(rows, inside)])
+        values, number, count = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+        tried += len(values)
+        often = count >= MIN_DOCUMENTS
+        known.append(values[often])
+        ratios.append([
+            _ratio(count[often], np.bincount(number, weights=target[owner], minlength=len(count))[often], target)
+            for target in targets.T
+        ])
+    if not known:
+        return np.zeros(0, dtype=np.uint64)
+    known, keep = np.concatenate(known), []
+    for ratio in map(np.concatenate, zip(*ratios)):
+        best = np.argsort(-ratio, kind="stable")[:FEATURES]
+        keep.append(best[ratio[best] > 2 * np.log(max(tried, 2)) + MARGIN])
+    return known[np.unique(np.concatenate(keep))]
+
+
+def _ratio(count: np.ndarray, inside: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Likelihood ratio of features in `count` examples, of which `inside` are positive."""
     n, positive = len(target), target.sum()
-    inside = np.bincount(number, weights=target[rows], minlength=len(count))
 
     def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12))
 
     share = positive / max(n, 1)
     outside, absent, absent_out = count - inside, positive - inside, (n - positive) - (count - inside)
-    ratio = 2 * (part(inside, count * share) + part(outside, count * (1 - share))
-                 + part(absent, (n - count) * share) + part(absent_out, (n - count) * (1 - share)))
-    ratio[count < MIN_DOCUMENTS] = 0
-    best = np.argsort(-ratio, kind="stable")[:FEATURES]
-    return best[ratio[best] > 2 * np.log(max(len(count), 2)) + MARGIN]
+    return 2 * (part(inside, count * share) + part(outside, count * (1 - share))
+                + part(absent, (n - count) * share) + part(absent_out, (n - count) * (1 - share)))
 
 
 def fit_chain(
