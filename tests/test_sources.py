@@ -165,3 +165,22 @@ def test_load_ratings_translates(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,book_id,best_book_id,title\n1,1,900,x\n")
     got = sorted(map(tuple, load_ratings(spark, str(tmp_path / "r.csv"), str(tmp_path / "b.csv")).collect()), key=repr)
     assert got == [(1, 900, 5), (1, None, 3)]
+
+
+def test_files_with_other_headers_are_never_misread(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.csv").write_text("user_id,book_id,rating\n1,2,3\n")
+    (tmp_path / "r" / "b.csv").write_text("book_id,user_id,rating\n5,4,2\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, str(tmp_path / "r"), "book_id INT, user_id INT, rating INT").collect()
+    (tmp_path / "r" / "b.csv").write_text("user_id,book_id,rating\n4,5,2\n")
+    got = files.read_csv(spark, str(tmp_path / "r"), "book_id INT, user_id INT, rating INT").collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 3), (5, 4, 2)]
+
+
+def test_review_order_follows_file_names_and_rows(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    for name, n in (("a", 3), ("b", 300), ("c", 40)):
+        (tmp_path / "v" / f"{name}.csv").write_text("".join(f'1,x{name},"s","{name} {i}\nmore"\n' for i in range(n)))
+    got = [r["review_text"] for r in load_limited_reviews(spark, str(tmp_path / "v")).orderBy("review_id").collect()]
+    assert got == [f"{name} {i}\nmore" for name, n in (("a", 3), ("b", 300), ("c", 40)) for i in range(n)]

@@ -72,10 +72,15 @@ def load_review_ratings(spark: SparkSession, path: str) -> DataFrame:
 def load_limited_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Limited reviews with a review_id in file order: files by name, rows by place in their file.
 
-    Ids are increasing, not consecutive; a file is read by one task because texts hold line breaks.
+    The place of the file's name among all names takes the bits from 33 up, the row's place in its
+    task the lower ones: a file is read by one task, as texts hold line breaks, so rows of a file
+    keep their order whichever files its task reads before.
     """
     rows = files.read_csv(spark, path, files.LIMITED_REVIEW_SCHEMA, header=False, multi_line=True)
-    return rows.withColumn("review_id", F.monotonically_increasing_id())
+    names = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "place long, file string")
+    placed = rows.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_row"))
+    number = F.shiftleft("place", 33).bitwiseOR(F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.join(names, "file").withColumn("review_id", number).drop("file", "place", "_row")
 
 
 def build_themes(

@@ -56,8 +56,9 @@ def read_csv(
 ) -> DataFrame:
     """CSV scan with a declared schema and doubled quotes inside quoted values.
 
-    With a header the columns are matched by name, so files may hold more columns, in any order;
-    pass ``columns`` to read a subset only. Values with line breaks need ``multi_line``, which reads
+    With a header the columns are matched by name, so files may hold more columns, in any order that
+    all of them share; files whose headers differ under one path are an error, never misread.
+    Pass ``columns`` to read a subset only. Values with line breaks need ``multi_line``, which reads
     each file in one task, so leave it off for the others.
     """
     reader = (
@@ -71,7 +72,8 @@ def read_csv(
         return frame.select(*columns) if columns else frame
     wanted = spark.createDataFrame([], schema).schema
     names = list(columns) if columns else wanted.fieldNames()
-    raw = reader.csv(path)
+    # The header of the first file names the columns; with enforceSchema off every other header is compared with it.
+    raw = reader.option("enforceSchema", False).schema(reader.csv(path).schema).csv(path)
     return raw.select(*[F.expr(f"try_cast(`{n}` AS {wanted[n].dataType.simpleString()})").alias(n) for n in names])
 
 
