@@ -102,7 +102,16 @@ def test_category_shares_and_ties(spark):
     ratings = spark.createDataFrame([(1, b, 3) for b in (1, 3, 4, 5)], "user_id long, book_id long, rating int")
     shares = profile.category_share(ratings, books)
     assert rows(shares) == [(1, 0, 1, 2, 0.5), (1, 1, 1, 1, 1.0), (1, 2, 1, 1, 1.0)]
-    assert [r["k_label"] for r in profile.top_categories(shares, 2).orderBy("position").collect()] == [1, 2]
+    top = profile.top_categories(shares, ratings, books, 2)
+    assert [r["k_label"] for r in top.orderBy("position").collect()] == [1, 2]
+
+
+def test_unread_categories_fill_the_places(spark):
+    books = spark.createDataFrame([(b, b % 7) for b in range(21)] + [(30, None)], "best_book_id long, k_label int")
+    ratings = spark.createDataFrame([(1, 4, 3), (2, 30, 5)], "user_id long, book_id long, rating int")
+    top = profile.top_categories(profile.category_share(ratings, books), ratings, books)
+    got = [(r["user_id"], r["position"], r["k_label"], round(r["share"], 3)) for r in top.orderBy("user_id", "position").collect()]
+    assert got == [(1, 1, 4, 0.333), *((1, p + 2, k, 0.0) for p, k in enumerate((0, 1, 2, 3))), *((2, p + 1, p, 0.0) for p in range(5))]
 
 
 def test_top_slice_uses_interpolated_quantile(spark):

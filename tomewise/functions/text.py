@@ -57,7 +57,7 @@ def keep_word(word: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
 
 # Plural endings and what replaces them, first match wins, and endings left alone.
 NOUN_ENDINGS = [
-    ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("ies", "y"), ("s", ""),
+    ("sses", "ss"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("ies", "y"), ("men", "man"), ("s", ""),
 ]
 KEPT_ENDINGS = ["ss", "us", "is"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOP_CATEGORIES = 5
+MAX_LABELS = 1000
 
 
 def star_profile(ratings: DataFrame, source_col: str = "source") -> DataFrame:
@@ -39,12 +40,29 @@ def category_share(ratings: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
-def top_categories(shares: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
-    """The n themes of which a user has read the largest part; ties go to the smaller label."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("share"), "k_label")
-    return (
-        shares.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
-        .select("user_id", "k_label", "share", "position")
+def top_categories(shares: DataFrame, ratings: DataFrame, books: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
+    """The n themes of which a user has read the largest part, for every user with a rating.
+
+    All themes of the catalogue take part, unread ones with share 0, so a user has n of them whenever
+    the catalogue has. Ties, those among unread themes too, go to the smaller label. The labels are
+    one small array (their number is checked), which is ranked inside each user's row.
+    """
+    rows = books.where("k_label IS NOT NULL").select("k_label").distinct().orderBy("k_label").limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} themes")
+    labels = F.array(*[F.lit(r[0]) for r in rows]).cast("array<int>")
+    read = shares.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("k_label").cast("int"), "share"))).alias("read")
+    )
+    users = ratings.select("user_id").distinct().join(read, "user_id", "left")
+
+    def entry(label: Column) -> Column:
+        share = F.coalesce(F.try_element_at("read", label), F.lit(0.0))
+        return F.struct((-share).alias("order"), label.alias("k_label"))
+
+    ranked = F.slice(F.array_sort(F.transform(labels, entry)), 1, n)
+    return users.select("user_id", F.posexplode(ranked)).select(
+        "user_id", "col.k_label", F.abs("col.order").alias("share"), (F.col("pos") + 1).alias("position")
     )
 
 

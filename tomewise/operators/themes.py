@@ -20,38 +20,24 @@ from tomewise.functions.text import STOP_WORDS, keep_word, singular, split_words
 MAX_FEATURES = 1000
 CLUSTERS = 13
 SEED = 72
-PART_CHARS = 64 << 20
-BUCKET_REVIEWS_BITS = 12
+#: A part of a book's text holds the reviews of a range of 2**12 review ids.
+PART_BITS = 12
 
 
-def reviews_by_book(
-    reviews: DataFrame, order_col: str = "review_id", part_chars: int = PART_CHARS,
-    bucket_bits: int = BUCKET_REVIEWS_BITS,
-) -> DataFrame:
-    """Review text of each book joined by blanks in order of arrival, null texts skipped.
+def reviews_by_book(reviews: DataFrame, order_col: str = "review_id", part_bits: int = PART_BITS) -> DataFrame:
+    """Review text of each book joined by blanks in order of arrival, null texts skipped, in parts.
 
-    A book has one row, part 0, unless its text exceeds ``part_chars``: then it goes on in numbered
-    parts, cut between reviews. Part numbers come from the text lengths of ranges of review ids.
+    A part is the text of the book's reviews in one range of 2**part_bits review ids, numbered by
+    that range, so the parts are the same whatever the size of the data and one row stays bounded.
     """
-    rows = reviews.where("review_text IS NOT NULL").select(
-        "best_book_id", "review_text", F.col(order_col).alias("_order"),
-        F.shiftright(order_col, bucket_bits).alias("_bucket"),
-    )
-    sizes = rows.groupBy("best_book_id", "_bucket").agg(
-        F.sum(F.length("review_text").cast("bigint") + 1).alias("chars")
-    )
-    before = Window.partitionBy("best_book_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    limit = F.lit(part_chars)
-    placed = sizes.select(
-        "best_book_id", "_bucket",
-        F.floor((F.sum("chars").over(before) - F.col("chars")) / limit).cast("int").alias("part"),
-    )
-    late = placed.where("part > 0")
     text = F.expr("listagg(review_text, ' ') WITHIN GROUP (ORDER BY _order)")
     return (
-        rows.join(late, ["best_book_id", "_bucket"], "left")
-        .groupBy("best_book_id", F.coalesce("part", F.lit(0)).alias("part"))
-        .agg(text.alias("review_text"))
+        reviews.where("review_text IS NOT NULL")
+        .select(
+            "best_book_id", F.shiftright(F.col(order_col).cast("bigint"), part_bits).alias("part"), "review_text",
+            F.col(order_col).alias("_order"),
+        )
+        .groupBy("best_book_id", "part").agg(text.alias("review_text"))
     )
 
 

@@ -147,9 +147,10 @@ VIEWS: dict[str, str] = {
               WHERE k_label IS NOT NULL GROUP BY 1, 2)
         JOIN (SELECT k_label, count(*) AS n_books FROM books WHERE k_label IS NOT NULL GROUP BY 1) USING (k_label)""",
     "top_category": """
-        SELECT * FROM (SELECT user_id, k_label, share,
-               CAST(row_number() OVER (PARTITION BY user_id ORDER BY share DESC, k_label) AS INTEGER) AS position
-        FROM category) WHERE position <= 5""",
+        SELECT * FROM (SELECT user_id, k_label, coalesce(share, 0.0::DOUBLE) AS share,
+               CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(share, 0.0::DOUBLE) DESC, k_label) AS INTEGER) AS position
+        FROM (SELECT DISTINCT user_id FROM ratings) CROSS JOIN (SELECT DISTINCT k_label FROM books WHERE k_label IS NOT NULL)
+        LEFT JOIN category USING (user_id, k_label)) WHERE position <= 5""",
     # Fold-in
     "configs": """
         SELECT * FROM (VALUES (0.01::DOUBLE, 10, 1), (0.01, 100, 2), (0.1, 10, 3), (0.1, 100, 4))
@@ -355,8 +356,8 @@ STATEMENTS: dict[str, str] = {
                round(boosted_rating, 6) AS boosted_rating
         FROM ranked LEFT JOIN named USING (bucket) WHERE position <= 10""",
     "reviews_by_book": """
-        SELECT best_book_id, 0 AS part, string_agg(review_text, ' ' ORDER BY review_id) AS review_text
-        FROM reviews WHERE review_text IS NOT NULL GROUP BY 1""",
+        SELECT best_book_id, review_id >> 12 AS part, string_agg(review_text, ' ' ORDER BY review_id) AS review_text
+        FROM reviews WHERE review_text IS NOT NULL GROUP BY 1, 2""",
     "review_tokens": "SELECT best_book_id, word, count(*) AS tf FROM words GROUP BY 1, 2",
     "review_lemmas": f"SELECT word, {_singular('word')} AS lemma, count(*) AS n FROM words GROUP BY 1",
     "review_tfidf": """

@@ -216,7 +216,8 @@ def category_share(spark, sf):
 
 @query
 def top_categories(spark, sf):
-    return rounded(profile.top_categories(profile.category_share(src.ratings(spark, sf), src.books(spark, sf))), "share")
+    ratings, books = src.ratings(spark, sf), src.books(spark, sf)
+    return rounded(profile.top_categories(profile.category_share(ratings, books), ratings, books), "share")
 
 
 def both_sources(spark, sf):
