@@ -20,10 +20,9 @@ QUERIES: dict[str, Query] = {}
 
 DECIMALS = 6
 TOP_N = 10
-GRID_ALPHAS = [0.01, 0.1]
+GRID_ALPHAS = grids.GRID_ALPHAS
+#: Settings of foldin_error and best_config, which their DuckDB statements name; foldin_grid searches the published ones.
 GRID_ITERATIONS = [10, 100]
-ALS_RANKS = [6, 10]
-ALS_REG_PARAMS = [0.05, 0.1]
 
 
 # How to free what a query keeps in storage because several of its branches read it; the next query does.
@@ -414,7 +413,7 @@ def als_eval(spark, sf):
 @query
 def als_grid(spark, sf):
     train, test = _als_rows(spark, sf)
-    return als.grid_search(train, test, ALS_REG_PARAMS, ALS_RANKS, max_iter=5)
+    return als.grid_search(train, test, als.GRID_REG_PARAMS, als.GRID_RANKS)
 
 
 def _user_parts(spark, sf):
@@ -427,7 +426,7 @@ def _user_parts(spark, sf):
 @query
 def als_grid_per_rank(spark, sf):
     train, _, train_val = _user_parts(spark, sf)
-    metrics, factors = als.grid_search_per_rank(train, train_val, ALS_REG_PARAMS, ALS_RANKS, max_iter=5)
+    metrics, factors = als.grid_search_per_rank(train, train_val, als.GRID_REG_PARAMS, als.GRID_RANKS)
     sizes = factors.groupBy("rank", "split", "side").agg(F.count("*").alias("n_factors"))
     return als.best_config(metrics, "rmse_top_5", within=["rank"]).drop("position").join(sizes, "rank")
 
@@ -435,11 +434,12 @@ def als_grid_per_rank(spark, sf):
 @query
 def foldin_grid(spark, sf):
     train, val, train_val = _user_parts(spark, sf)
-    models = {}
-    for rank in ALS_RANKS:
-        small, large = (als.train(rows, rank=rank, max_iter=5) for rows in (train, train_val))
-        models[rank] = (small.itemFactors, large.itemFactors, large.userFactors)
-    return grids.foldin_grid(val, models, GRID_ALPHAS, GRID_ITERATIONS)
+    _, fits = als.fit_per_rank(train, train_val, als.GRID_REG_PARAMS, als.GRID_RANKS)
+    models = {
+        rank: (fits[rank, "train"].itemFactors, fits[rank, "test"].itemFactors, fits[rank, "test"].userFactors)
+        for rank in als.GRID_RANKS
+    }
+    return grids.foldin_grid(val, models, grids.GRID_ALPHAS, grids.GRID_ITERATIONS)
 
 
 # Themes
