@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import bytecnn, crosspoly, egojoin, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
+from tomewise.llm import bytecnn, crosspoly, egojoin, golomb, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
 from tomewise.llm.samples import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,12 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_chain(spark, sf_dir))
     return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC_FROM).cast("int").alias("toxic"))
+
+
+@query
+def op13_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, for every document."""
+    return golomb.exact_groups(table(spark, sf_dir, "documents"), scan=True)
+
+
+ORACLE["op13_golomb_dedup"] = golomb.EXACT_SQL
