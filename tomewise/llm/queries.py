@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import bytecnn, crosspoly, egojoin, golomb, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
+from tomewise.llm import bytecnn, crosspoly, divergence, egojoin, golomb, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
 from tomewise.llm.samples import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,12 @@ def op13_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_golomb_dedup"] = golomb.EXACT_SQL
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms in which each stands out."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_source_divergence"] = divergence.DIVERGENCE_SQL
