@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tomewise.llm import bytecnn, crosspoly, divergence, egojoin, golomb, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
+from tomewise.llm import bytecnn, crosspoly, divergence, dualtree, egojoin, golomb, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
 from tomewise.llm.samples import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_source_divergence"] = divergence.DIVERGENCE_SQL
+
+
+@query
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return dualtree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_dual_tree_search"] = dualtree.RANKED_SQL
