@@ -6,10 +6,10 @@ nodes is no less than any score between them. Where it is below the weakest k-th
 block of items by documents is passed over, and nothing that could enter a list is lost.
 
 1. Documents are read once and projected to the terms of the items. Document counts are summed by Spark.
-2. The projections are dealt out by each document's rarest item term, so that documents that resemble an item share a
-   tree. Trees hold a few thousand documents.
-3. For a start each item descends every tree greedily to its best leaf. The k-th best of what all trees find is a score
-   that the true k-th best cannot be below.
+2. The projections are dealt out by the group of items that a document resembles most, then by length, so that the
+   coordinates below a node are alike. Trees hold a few thousand documents.
+3. For a start each item descends every tree along its best nodes. The k-th best of what all trees find is a score that
+   the true k-th best cannot be below.
 4. With these, both trees are searched from their roots. Every tree gives its best k rows for each item.
 """
 
@@ -30,16 +30,16 @@ from tomewise.llm.words import as_bytes, slices
 TOP = 10
 #: Items searched together: their terms are sent to all tasks.
 ITEM_BLOCK = 1024
-#: Children of a node, documents of a leaf, items of a leaf; cells of a tree's matrix (4 bytes each).
-FAN_OUT = 8
-LEAF = 8
+#: Children of a document node, from the documents upwards, the last for all levels above; children of an item node.
+FAN_OUTS = (2, 2, 2, 4, 4, 8)
 ITEM_FAN_OUT = 4
-CELLS = 1 << 24
+#: Groups of items by which documents are dealt out; cells of a tree's matrix (4 bytes each).
+GROUPS = 16
+CELLS = 1 << 23
 SLICE_BYTES = 16 << 20
 
 PROJECTED = "doc_id long, n long, terms array<int>, times array<long>, total boolean"
 FOUND = "item int, doc_id long, score long"
-COUNTED = "checked long, possible long"
 
 
 def weight(documents: int, holding: int) -> int:
@@ -108,16 +108,34 @@ def unit_scores(n: np.ndarray, times: np.ndarray, documents: int, length: int) -
     return 1_000_000_000 * times // (1000 * times + 8 * m)
 
 
+def by_likeness(vectors: np.ndarray, items: np.ndarray) -> list[int]:
+    """Items in an order in which halves, quarters and so on are alike: halved again and again between two far ones."""
+    if len(items) <= ITEM_FAN_OUT:
+        return items.tolist()
+    own = vectors[items]
+    one = int((own @ own.sum(axis=0)).argmin())
+    other = int((own @ own[one]).argmin())
+    order = items[np.argsort(own @ (own[other] - own[one]), kind="stable")]
+    half = len(items) // 2
+    return by_likeness(vectors, order[:half]) + by_likeness(vectors, order[half:])
+
+
 class ItemTree:
-    """Nodes of a tree over items, level by level from the root: terms, their greatest weights, children.
+    """Nodes of a tree over items, level by level from the root: (terms, items below, children).
 
-    Items are ordered by their heaviest terms, so that items of one language or subject share nodes.
+    The greatest weight of a term among items is its weight, as all items weigh it alike; a node needs its terms only.
+    `groups` holds the sums of the unit vectors of up to GROUPS runs of like items.
     """
 
     def __init__(self, items: list[np.ndarray], weights: np.ndarray):
-        order = sorted(range(len(items)), key=lambda i: items[i][np.argsort(-weights[items[i]], kind="stable")][:4].tolist())
+        vectors = np.zeros((len(items), len(weights)), dtype=np.float32)
+        for i, terms in enumerate(items):
+            vectors[i, terms] = weights[terms]
+        vectors /= np.maximum(1e-9, np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)))
+        order = by_likeness(vectors, np.arange(len(items)))
+        self.groups = np.stack([vectors[part].sum(axis=0) for part in np.array_split(order, min(GROUPS, len(order)))])
         level = [(items[i], np.array([i]), []) for i in order]
-        self.weights, self.levels = weights, [level]
+        self.weights, self.levels = weights.astype(np.float64), [level]
         while len(level) > 1:
             made = []
             for at in range(0, len(level), ITEM_FAN_OUT):
@@ -134,26 +152,26 @@ class DocTree:
 
     def __init__(self, ids: pa.Array, matrix: np.ndarray):
         self.ids, self.rows = ids, len(ids)
-        levels = [matrix]
-        while len(levels[0]) > 1:
-            below = levels[0]
-            width = LEAF if len(levels) == 1 else FAN_OUT
-            levels.insert(0, np.maximum.reduceat(below, np.arange(0, len(below), width), axis=0))
-        self.levels = levels
+        self.levels, self.widths = [matrix], []
+        while len(self.levels[0]) > 1:
+            width = FAN_OUTS[min(len(self.widths), len(FAN_OUTS) - 1)]
+            below = self.levels[0]
+            self.levels.insert(0, np.maximum.reduceat(below, np.arange(0, len(below), width), axis=0))
+            self.widths.insert(0, width)
 
     def bounds(self, level: int, nodes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Products with an item node. Sums of whole numbers below 2^53 are exact in doubles."""
-        return self.levels[level][np.ix_(nodes, terms)].astype(np.float64) @ weights[terms].astype(np.float64)
+        return self.levels[level][np.ix_(nodes, terms)].astype(np.float64) @ weights[terms]
 
     def children(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        width = LEAF if level + 2 == len(self.levels) else FAN_OUT
+        width = self.widths[level]
         below = (nodes[:, None] * width + np.arange(width)).ravel()
         return below[below < len(self.levels[level + 1])]
 
 
 def trees(batches: Iterator[pa.RecordBatch], terms: int, documents: int, length: int) -> Iterator[DocTree]:
     """Trees over the documents in the order they come."""
-    capacity = max(LEAF * FAN_OUT, CELLS // max(1, terms) // LEAF * LEAF)
+    capacity = max(32, CELLS // max(1, terms) // 32 * 32)
     for batch in batches:
         for at in range(0, batch.num_rows, capacity):
             part = batch.slice(at, capacity)
@@ -187,23 +205,24 @@ class Best:
 
 
 def descend(tree: DocTree, items: ItemTree, best: Best) -> None:
-    """Every item goes down to its best leaf and scores the documents there."""
+    """Every item goes down along its best k nodes, so that a tree with that many documents gives it k scores."""
+    deepest = len(tree.levels) - 1
     for terms, which, _ in items.levels[-1]:
-        nodes = np.zeros(1, dtype=np.int64)
-        for level in range(len(tree.levels) - 1):
+        item, nodes = int(which[0]), np.zeros(1, dtype=np.int64)
+        for level in range(deepest + 1):
             bounds = tree.bounds(level, nodes, terms, items.weights)
-            top = int(bounds.argmax())
-            if bounds[top] < best.floor[which[0]] or bounds[top] <= 0:
+            good = np.flatnonzero((bounds > 0) & (bounds >= best.floor[item]))
+            if not len(good):
                 break
-            nodes = tree.children(level, nodes[top : top + 1])
-        else:
-            scores = tree.bounds(len(tree.levels) - 1, nodes, terms, items.weights)
-            best.add(int(which[0]), scores, tree.ids.take(pa.array(nodes)).to_pylist())
+            if level == deepest:
+                best.add(item, bounds[good], tree.ids.take(pa.array(nodes[good])).to_pylist())
+            else:
+                nodes = tree.children(level, nodes[good[np.argsort(-bounds[good], kind="stable")[: best.k]]])
 
 
-def search(tree: DocTree, items: ItemTree, best: Best) -> int:
-    """Both trees from their roots, a level of each at a time; returns the number of (item, document) pairs scored."""
-    scored, deepest = 0, len(tree.levels) - 1
+def search(tree: DocTree, items: ItemTree, best: Best) -> np.ndarray:
+    """Both trees from their roots, a level of each at a time; returns how many documents were scored and nodes bounded."""
+    scored, bounded, deepest = 0, 0, len(tree.levels) - 1
     # (item level, item node, document level, document nodes)
     open_pairs = [(0, 0, 0, np.zeros(1, dtype=np.int64))]
     while open_pairs:
@@ -216,6 +235,7 @@ def search(tree: DocTree, items: ItemTree, best: Best) -> int:
             good = (bounds > 0) & (bounds >= best.floor[item])
             best.add(item, bounds[good], tree.ids.take(pa.array(nodes[good])).to_pylist())
             continue
+        bounded += len(nodes)
         # Equal to the weakest k-th score may still win by a smaller id.
         left = nodes[(bounds > 0) & (bounds >= best.floor[which].min())]
         if not len(left):
@@ -226,7 +246,7 @@ def search(tree: DocTree, items: ItemTree, best: Best) -> int:
             open_pairs += [(item_level + 1, b, level, left) for b in below]
         else:
             open_pairs.append((item_level, item_node, level, left))
-    return scored
+    return np.array([scored, bounded])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -234,8 +254,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
-def _search_block(docs: DataFrame, block: list[tuple[object, list[bytes]]], k: int, parts: int | None) -> tuple[DataFrame, int, int]:
-    """(item, rank, doc_id, score) for the numbered items of a block; the pairs that were scored, and all there are."""
+def _search_block(docs: DataFrame, block: list[tuple[object, list[bytes]]], k: int, parts: int | None) -> tuple[DataFrame, tuple]:
+    """(item, rank, doc_id, score) for the numbered items of a block; pairs scored, nodes bounded, and all pairs there are."""
     vocabulary = sorted({t for _, terms in block for t in terms})
     number = {t: i for i, t in enumerate(vocabulary)}
     projected = stored(project(docs, vocabulary), "dualtree-projected")
@@ -249,28 +269,28 @@ def _search_block(docs: DataFrame, block: list[tuple[object, list[bytes]]], k: i
     weights = np.array([weight(documents, int(h)) for h in holding[:-1]], dtype=np.int64)
     terms = len(vocabulary)
 
-    # Heaviest terms first in the order of the documents; those that hold the same go by length.
     spark = docs.sparkSession
-    place = np.empty(terms, dtype=np.int64)
-    place[np.argsort(-weights, kind="stable")] = np.arange(terms)
-    sent = spark.sparkContext.broadcast((ItemTree([np.array(sorted(number[t] for t in x)) for _, x in block], weights), place))
+    sent = spark.sparkContext.broadcast(ItemTree([np.array(sorted(number[t] for t in x)) for _, x in block], weights))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = sent.value.groups.T.copy()
         for batch in batches:
-            if batch.num_rows:
-                places = sent.value[1][batch.column(2).flatten().to_numpy()]
-                begin = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())))[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(np.minimum.reduceat(places, begin), pa.int64())], [*batch.schema.names, "heaviest"])
-
-    thin = projected.where("NOT total").select("doc_id", "n", "terms", "times")
-    thin = thin.mapInArrow(keyed, "doc_id long, n long, terms array<int>, times array<long>, heaviest long")
-    order = ["heaviest", "n", F.xxhash64("doc_id")]
-    dealt = thin.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).drop("heaviest")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                term, times = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy()
+                begin = np.concatenate(([0], np.cumsum(pc.list_value_length(part.column(2)).to_numpy())))[:-1]
+                like = np.add.reduceat(groups[term] * (times / (times + 1.0))[:, None].astype(np.float32), begin, axis=0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(like.argmax(axis=1), pa.int32())], [*part.schema.names, "alike"])
+
+    # Documents without any item term have no score above 0.
+    thin = projected.where("NOT total AND size(terms) > 0").select("doc_id", "n", "terms", "times")
+    thin = thin.mapInArrow(keyed, "doc_id long, n long, terms array<int>, times array<long>, alike int")
+    order = ["alike", "n", F.xxhash64("doc_id")]
+    dealt = thin.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).drop("alike")
     dealt = stored(dealt, "dualtree-dealt")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value[0]
+        items = sent.value
         best = Best(np.zeros(len(block)), k)
         for tree in trees(batches, terms, documents, length):
             descend(tree, items, best)
@@ -282,25 +302,25 @@ def _search_block(docs: DataFrame, block: list[tuple[object, list[bytes]]], k: i
         floor[item] = score if held == k else 0
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, scored, rows = sent.value[0], 0, 0
+        items, work, rows = sent.value, np.zeros(2, dtype=np.int64), 0
         best = Best(floor, k)
         for tree in trees(batches, terms, documents, length):
-            scored += search(tree, items, best)
+            work += search(tree, items, best)
             rows += tree.rows
         yield best.rows()
-        # Two rows without an item tell how much work the pruning left.
+        # Rows without an item tell how much work the pruning left.
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(2, pa.int32()), pa.array([0, 1], pa.int64()), pa.array([scored, rows * len(block)], pa.int64())],
+            [pa.nulls(3, pa.int32()), pa.array([0, 1, 2], pa.int64()), pa.array([*work, rows * len(block)], pa.int64())],
             ["item", "doc_id", "score"])
 
     found = stored(dealt.mapInArrow(finish, FOUND), "dualtree-found")
     work = {r.doc_id: r.s for r in found.where("item IS NULL").groupBy("doc_id").agg(F.sum("score").alias("s")).collect()}
-    return _ranked(found.where("item IS NOT NULL"), k), work.get(0, 0), work.get(1, 0)
+    return _ranked(found.where("item IS NOT NULL"), k), tuple(work.get(i, 0) for i in range(3))
 
 
 def ranked_search(
     docs: DataFrame, items: DataFrame, k: int = TOP, item_block: int = ITEM_BLOCK, parts: int | None = None,
-    work: list[tuple[int, int]] | None = None,
+    work: list[tuple] | None = None,
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of every item with a score above 0, ties to the smaller id.
 
@@ -310,7 +330,8 @@ def ranked_search(
     Other columns are not read.
 
     Items are taken in blocks of `item_block`; only the terms of a block are on the driver and in every task, and the
-    documents are read once for each block. `work` receives (pairs scored, pairs in all) for each block.
+    documents are read once for each block. `work` receives (pairs scored, node pairs bounded, pairs in all) for
+    each block.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -323,9 +344,9 @@ def ranked_search(
 
     def flush() -> None:
         nonlocal out, block
-        found, scored, possible = _search_block(docs, block, k, parts)
+        found, done = _search_block(docs, block, k, parts)
         if work is not None:
-            work.append((scored, possible))
+            work.append(done)
         names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(block)], f"item int, item_id {kind}")
         out = out.union(found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
         block = []
