@@ -24,7 +24,7 @@ from tomewise.llm.words import as_bytes, slices
 MIN_DOCS = 10
 TOP_TERMS = 10
 #: Documents whose terms fall to one bucket on average, and bytes of text counted together in a task.
-BUCKET_DOCS = 1 << 13
+BUCKET_DOCS = 1 << 11
 SLICE_BYTES = 24 << 20
 
 INTS, LONGS, TERMS = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())
