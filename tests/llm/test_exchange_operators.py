@@ -203,4 +203,4 @@ def test_whole_batches_are_passed_over(spark):
     got = dualtree.ranked_search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), work=work)
     assert sorted(map(tuple, got.collect()), key=str) == expected_ranks(rows, items, 10)
     scored, bounded, possible = work[0]
-    assert possible == 4000 * 40 and scored < possible / 20 and bounded < possible / 2
+    assert 3900 * 40 < possible <= 4000 * 40 and scored < possible / 20 and bounded < possible / 2

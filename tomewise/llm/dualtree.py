@@ -286,7 +286,9 @@ def _search_block(docs: DataFrame, block: list[tuple[object, list[bytes]]], k: i
     thin = projected.where("NOT total AND size(terms) > 0").select("doc_id", "n", "terms", "times")
     thin = thin.mapInArrow(keyed, "doc_id long, n long, terms array<int>, times array<long>, alike int")
     order = ["alike", "n", F.xxhash64("doc_id")]
-    dealt = thin.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).drop("alike")
+    # The number is given, as thin rows that take much work must not be merged into few tasks for their small size.
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = thin.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("alike")
     dealt = stored(dealt, "dualtree-dealt")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
