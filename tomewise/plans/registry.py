@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tomewise.functions.skew import spread_unsplit
+from tomewise.functions.tables import dense_index, scratch_path, stored
 from tomewise.operators import als, clean, foldin, groups, profile, rankings, resolve, scoring, splits, themes
 from tomewise.plans import grids
 from tomewise.plans.recommend import Recommender, recommend_shelves
 from tomewise.session import tune
 from tomewise.sources import derived as src
 from tomewise.sources import files
+from tomewise.sources.factors import ITEM, USER, FactorStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,8 +23,9 @@ QUERIES: dict[str, Query] = {}
 DECIMALS = 6
 TOP_N = 10
 GRID_ALPHAS = grids.GRID_ALPHAS
-#: Settings of foldin_error and best_config, which their DuckDB statements name; foldin_grid searches the published ones.
-GRID_ITERATIONS = [10, 100]
+GRID_ITERATIONS = grids.GRID_ITERATIONS
+#: Limits of the queries that show the layouts for large catalogues on the supplied tables.
+SMALL_BLOCK, SMALL_CHUNK = 1 << 17, 64
 
 
 # How to free what a query keeps in storage because several of its branches read it; the next query does.
@@ -287,6 +290,28 @@ def foldin_gradient(spark, sf):
     return rounded(foldin.factors_long(vectors).select("user_id", "dim", "value"), "value")
 
 
+@query
+def item_index(spark, sf):
+    """Gapless numbers of the order keys, which lie apart."""
+    return dense_index(src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id")), "order_id")
+
+
+@query
+def foldin_nonneg_chunked(spark, sf):
+    """foldin_nonneg with ratings in chunks and items sent range by range."""
+    vectors = foldin.foldin_nonneg(
+        src.ratings(spark, sf), src.item_factors(spark, sf), chunk_limit=SMALL_CHUNK, broadcast_limit=SMALL_BLOCK)
+    return rounded(foldin.factors_long(vectors).select("user_id", "dim", "value"), "value")
+
+
+@query
+def foldin_gradient_chunked(spark, sf):
+    """foldin_gradient with a tree product over chunks and items sent range by range."""
+    vectors = foldin.foldin_gradient(
+        src.ratings(spark, sf), src.item_factors(spark, sf), chunk_limit=SMALL_CHUNK, broadcast_limit=SMALL_BLOCK)
+    return rounded(foldin.factors_long(vectors).select("user_id", "dim", "value"), "value")
+
+
 def _grid_errors(spark, sf):
     ratings, items = src.ratings(spark, sf), src.item_factors(spark, sf)
     vectors = foldin.foldin_nonneg(ratings, items, GRID_ALPHAS, GRID_ITERATIONS)
@@ -319,6 +344,16 @@ def score_items(spark, sf):
     return scoring.score_top(vectors, catalogue, 50)
 
 
+@query
+def score_items_blocked(spark, sf):
+    """score_items with the catalogue sent block by block."""
+    ratings, items = src.ratings(spark, sf), src.item_factors(spark, sf)
+    vectors = foldin.foldin_nonneg(ratings, items).select("user_id", "features")
+    catalogue = scoring.plan_catalogue(items.withColumnRenamed("id", "item_id"), SMALL_BLOCK)
+    HELD.append(catalogue.items.unpersist)
+    return scoring.score_top(vectors, catalogue, 50)
+
+
 @query
 def unread_candidates(spark, sf):
     ratings, items = src.ratings(spark, sf), src.item_factors(spark, sf)
@@ -358,6 +393,12 @@ def recommend_topk(spark, sf):
     return rounded(recommender(spark, sf).top(TOP_N), "rating_guess", "boost", "boosted_rating")
 
 
+@query
+def recommend_topk_blocked(spark, sf):
+    """recommend_topk with the catalogue sent block by block."""
+    return rounded(recommender(spark, sf, broadcast_limit=SMALL_BLOCK).top(TOP_N), "rating_guess", "boost", "boosted_rating")
+
+
 @query
 def recommend_unboosted(spark, sf):
     rows = recommender(spark, sf).top(TOP_N, boosted=False).drop("boosted_rating")
@@ -383,14 +424,27 @@ def recommend_from_shelf(spark, sf):
     return rounded(rows, "boosted_rating")
 
 
-# ALS
+# ALS: factors are not a matter of SQL, so these queries return what SQL can tell of them: which ids have factors, which
+# rows get which fallback, that vectors are optimal, that metrics are finite and the chosen setting the best of its table.
+
+
+def finite(column: str):
+    return F.coalesce(~F.isnan(column) & (F.abs(column) < F.lit(float("inf"))), F.lit(False))
 
 
 @query
 def als_factors(spark, sf):
-    from tomewise.sources.factors import factors_long
-
-    return factors_long(als.train(src.ratings(spark, sf)), als.RANK, "all")
+    ratings = hold(src.ratings(spark, sf))
+    model = als.train(ratings)
+    solved = als.optimality(ratings, model.userFactors, model.itemFactors)
+    store = FactorStore(spark, scratch_path(spark, "factors"))
+    store.save_model(model, als.RANK, "all")
+    users = store.load(als.RANK, "all", USER).join(solved, F.col("id") == F.col("user_id"), "left")
+    columns = ["id", F.size("features").alias("n_factors"), F.forall("features", lambda x: x >= 0).alias("nonnegative")]
+    users = users.select(F.lit(USER).alias("side"), *columns, "n_ratings", "optimal")
+    items = store.load(als.RANK, "all", ITEM).select(
+        F.lit(ITEM).alias("side"), *columns, F.lit(None).cast("bigint").alias("n_ratings"), F.lit(None).cast("boolean").alias("optimal"))
+    return users.unionByName(items)
 
 
 def _als_rows(spark, sf):
@@ -401,19 +455,43 @@ def _als_rows(spark, sf):
 @query
 def als_predict(spark, sf):
     train, test = _als_rows(spark, sf)
-    return als.predict(als.train(train), train, test)
+    known = [train.select(c, F.lit(True).alias(f"has_{c}")).distinct() for c in ("user_id", "book_id")]
+    rows = als.predict(als.train(train), train, test).join(known[0], "user_id", "left").join(known[1], "book_id", "left")
+    fallback = F.when(F.col("has_user_id").isNull() | F.col("has_book_id").isNull(), F.round("prediction", DECIMALS))
+    return rows.select("user_id", "book_id", "rating", fallback.alias("fallback"), (finite("prediction") & (F.col("prediction") >= 0)).alias("usable"))
 
 
 @query
 def als_eval(spark, sf):
     train, test = _als_rows(spark, sf)
-    return profile.evaluate(als.predict(als.train(train), train, test))
+    rows = profile.with_top_slice(als.predict(als.train(train), train, test))
+    found = rows.agg(F.count("*").alias("n_rows"), F.count_if("is_top").alias("n_top"), *profile.rmse_columns())
+    return found.select("n_rows", "n_top", finite("rmse").alias("rmse_finite"), finite("rmse_top_5").alias("rmse_top_5_finite"))
 
 
 @query
-def als_grid(spark, sf):
-    train, test = _als_rows(spark, sf)
-    return als.grid_search(train, test, als.GRID_REG_PARAMS, als.GRID_RANKS)
+def predict_from_store(spark, sf):
+    """Every rating predicted from matrices read back from a store: the item vectors and the folded-in users."""
+    ratings, items = hold(src.ratings(spark, sf)), src.item_factors(spark, sf)
+    store = FactorStore(spark, scratch_path(spark, "factors"))
+    store.save(items, 64, "all", ITEM)
+    store.save(foldin.foldin_nonneg(ratings, items).withColumnRenamed("user_id", "id"), 64, "all", USER)
+    mean = ratings.agg(F.avg("rating")).scalar()
+    return rounded(store.predict(ratings, 64, "all", mean), "prediction")
+
+
+#: Results that several queries of one session ask for, by application, tables and kind: 80 fits are made once.
+SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def shared(fn):
+    def run(spark: SparkSession, sf: str):
+        key = (spark.sparkContext.applicationId, sf, fn.__name__)
+        if key not in SHARED:
+            SHARED[key] = fn(spark, sf)
+        return SHARED[key]
+
+    return run
 
 
 def _user_parts(spark, sf):
@@ -423,23 +501,102 @@ def _user_parts(spark, sf):
     return train, val, train.unionByName(val)
 
 
+@shared
+def _flat_metrics(spark, sf):
+    train, test = _als_rows(spark, sf)
+    return stored(als.grid_search(train, test, als.GRID_REG_PARAMS, als.GRID_RANKS), "als-metrics")
+
+
+@shared
+def _rank_grid(spark, sf):
+    train, _, train_val = _user_parts(spark, sf)
+    path = scratch_path(spark, "factors")
+    metrics = als.grid_search_per_rank(train, train_val, als.GRID_REG_PARAMS, als.GRID_RANKS, path)
+    return stored(metrics, "rank-metrics"), FactorStore(spark, path)
+
+
+@shared
+def _foldin_metrics(spark, sf):
+    _, store = _rank_grid(spark, sf)
+    models = {
+        rank: tuple(store.load(rank, *key) for key in (("train", ITEM), ("test", ITEM), ("test", USER))) for rank in als.GRID_RANKS
+    }
+    return stored(grids.foldin_grid(_user_parts(spark, sf)[1], models, grids.GRID_ALPHAS, grids.GRID_ITERATIONS), "foldin-metrics")
+
+
+def _best_of(metrics: DataFrame, metric: str, ascending: bool, *settings: str) -> DataFrame:
+    """Checks of the best setting against its whole table: no other is better, no equal one comes before it."""
+    best = als.best_config(metrics, metric, ascending).select(*settings, F.col(metric).alias("best"), F.col("position").alias("place"))
+    better = F.col(metric) < F.col("best") if ascending else F.col(metric) > F.col("best")
+    earlier = (F.col(metric) == F.col("best")) & (F.col("position") < F.col("place"))
+    return metrics.select(metric, "position").join(F.broadcast(best)).groupBy(*settings).agg(
+        F.count("*").alias("n_settings"), F.count_if(better).alias("n_better"), F.count_if(earlier).alias("n_earlier"))
+
+
+@query
+def als_grid(spark, sf):
+    return _flat_metrics(spark, sf).select(
+        "position", "rank", "reg_param", finite("rmse").alias("rmse_finite"), finite("rmse_top_5").alias("rmse_top_5_finite"))
+
+
+@query
+def als_grid_best(spark, sf):
+    """The published grid's best setting by the error of the top slice, as counts that prove it."""
+    best = _best_of(_flat_metrics(spark, sf), "rmse_top_5", True, "rank", "reg_param")
+    inside = F.col("rank").isin(als.GRID_RANKS) & F.col("reg_param").isin(als.GRID_REG_PARAMS)
+    return best.select("n_settings", "n_better", "n_earlier", inside.alias("in_grid"))
+
+
 @query
 def als_grid_per_rank(spark, sf):
-    train, _, train_val = _user_parts(spark, sf)
-    metrics, factors = als.grid_search_per_rank(train, train_val, als.GRID_REG_PARAMS, als.GRID_RANKS)
-    sizes = factors.groupBy("rank", "split", "side").agg(F.count("*").alias("n_factors"))
-    return als.best_config(metrics, "rmse_top_5", within=["rank"]).drop("position").join(sizes, "rank")
+    metrics, store = _rank_grid(spark, sf)
+    best = als.best_config(metrics, "rmse_top_5", within=["rank"])
+    return best.select("rank", F.col("reg_param").isin(als.GRID_REG_PARAMS).alias("in_grid"), finite("rmse_top_5").alias("rmse_top_5_finite")).join(
+        store.sizes(), "rank")
 
 
 @query
 def foldin_grid(spark, sf):
-    train, val, train_val = _user_parts(spark, sf)
-    _, fits = als.fit_per_rank(train, train_val, als.GRID_REG_PARAMS, als.GRID_RANKS)
-    models = {
-        rank: (fits[rank, "train"].itemFactors, fits[rank, "test"].itemFactors, fits[rank, "test"].userFactors)
-        for rank in als.GRID_RANKS
-    }
-    return grids.foldin_grid(val, models, grids.GRID_ALPHAS, grids.GRID_ITERATIONS)
+    similar = (F.col("rank_sim") > 0) & (F.col("rank_sim") <= 1) | F.col("rank_sim").isNull() & (F.col("n_users") == 0)
+    return _foldin_metrics(spark, sf).select(
+        "rank", "negative", "iterations", "alpha", "position", (F.col("n_users") + F.col("n_diverged")).alias("n_users"),
+        (F.col("negative") | (F.col("n_diverged") == 0)).alias("converged"), similar.alias("similarity_in_range"))
+
+
+@query
+def foldin_grid_best(spark, sf):
+    """The published fold-in grid's best setting by rank similarity, as counts that prove it."""
+    best = _best_of(_foldin_metrics(spark, sf), "rank_sim", False, "rank", "negative", "iterations", "alpha")
+    return best.select("n_settings", "n_better", "n_earlier", F.col("rank").isin(als.GRID_RANKS).alias("in_grid"))
+
+
+@query
+def foldin_coverage(spark, sf):
+    """What a grid over the supplied vectors leaves out: the items with even ids stand for the other matrix."""
+    ratings, items = src.ratings(spark, sf), src.item_factors(spark, sf)
+    users = foldin.foldin_nonneg(ratings.where("user_id % 7 <> 0"), items).select(F.col("user_id").alias("id"), "features")
+    found = grids.foldin_coverage(ratings, items, items.where("id % 2 = 0"), users, [0.01], [100])
+    return found.where("NOT negative").drop("n_diverged").unionByName(found.where("negative").drop("n_diverged"))
+
+
+@query
+def recommend_from_als(spark, sf):
+    """Trained factors to lists: train, store, fold new users into the stored items, recommend; each row with its checks."""
+    parts = splits.split_users(src.ratings(spark, sf))
+    train, new = hold(parts.where("split <> 'test'").drop("split")), hold(parts.where("split = 'test'").drop("split"))
+    path, rank = scratch_path(spark, "factors"), als.GRID_RANKS[-1]
+    FactorStore(spark, path).save_model(als.train(train, rank=rank), rank, "test")
+    items = FactorStore(spark, path).load(rank, "test", ITEM)
+    job = Recommender(new, src.books(spark, sf), hold(classified(spark, sf)), items)
+    HELD.append(job.release)
+    rows = job.final(20)
+    read = new.select("user_id", F.col("book_id").alias("best_book_id"), F.lit(True).alias("read"))
+    trained = train.select(F.col("book_id").alias("best_book_id"), F.lit(True).alias("trained")).distinct()
+    before = F.lag("boosted_rating").over(Window.partitionBy("user_id").orderBy("position"))
+    return rows.withColumn("before", before).join(read, ["user_id", "best_book_id"], "left").join(trained, "best_book_id", "left").select(
+        "user_id", "position", F.col("read").isNull().alias("unread"), F.col("trained").isNotNull().alias("trained"),
+        (~F.col("k_label").eqNullSafe(8)).alias("shown"),
+        F.coalesce(F.col("before") >= F.col("boosted_rating"), F.col("position") == 1).alias("in_order"))
 
 
 # Themes
