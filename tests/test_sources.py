@@ -184,3 +184,51 @@ def test_review_order_follows_file_names_and_rows(spark, tmp_path):
         (tmp_path / "v" / f"{name}.csv").write_text("".join(f'1,x{name},"s","{name} {i}\nmore"\n' for i in range(n)))
     got = [r["review_text"] for r in load_limited_reviews(spark, str(tmp_path / "v")).orderBy("review_id").collect()]
     assert got == [f"{name} {i}\nmore" for name, n in (("a", 3), ("b", 300), ("c", 40)) for i in range(n)]
+
+
+def test_pages_of_many_lines_and_bad_ones(spark, books_dir):
+    parsed = files.parse_book_pages(files.read_pages(spark, books_dir))
+    assert sorted(r["book_id"] for r in files.flat_books(parsed).collect()) == [1, 3]
+    assert [r["file_name"] for r in files.page_errors(parsed).collect()] == ["2.xml"]
+    texts = [(0, None), (1, ""), (2, "<x><book></book></x>"), (3, "<book><id>8</id><isbn></book>"), (4, "<book><id>9</id></book>")]
+    parsed = files.parse_book_pages(spark.createDataFrame(texts, "n int, page string"))
+    assert sorted(r["n"] for r in parsed.where("book IS NULL").collect()) == [0, 1, 2, 3]
+
+
+def test_a_page_is_parsed_once_whatever_filters_follow(spark):
+    pages = spark.createDataFrame([(1, "<book><id>9</id></book>")], "n int, page string")
+    plan = files.flat_books(files.parse_book_pages(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+    lines = spark.createDataFrame([(1, "{}")], "n int, line string")
+    plan = files.review_errors(files.parse_reviews(lines), "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_malformed_review_lines_are_kept(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text('{"asin": "1", "overall": 4.0}\n{"asin": "2", "over\n\n[1, 2]\n{"asin": 3, "overall": "x"}\n{}\n')
+    assert [r["asin"] for r in files.read_reviews_json(spark, str(path)).orderBy("file", "place").collect()] == ["1", None]
+    errors = files.read_review_json_errors(spark, str(path)).collect()
+    assert {r["file_name"] for r in errors} == {"r.json"}
+    assert sorted(r["line"] for r in errors) == ['[1, 2]', '{"asin": "2", "over', '{"asin": 3, "overall": "x"}']
+
+
+def test_limited_reviews_keep_the_order_of_all_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n in (("b", 50), ("a", 400), ("c", 3)):
+        with gzip.open(tmp_path / "in" / f"{name}.json.gz", "wt") as f:
+            f.write("\n".join(json.dumps({"asin": str(i % 3), "reviewerID": f"{name}{i}", "overall": 1.0, "reviewText": f"{name} {i}"}) for i in range(n)) + "\n{bad\n")
+    isbn_map = spark.createDataFrame([("1", 100), ("2", 200)], "isbn string, best_book_id long")
+    limit_reviews(spark, str(tmp_path / "in"), isbn_map, str(tmp_path / "o"))
+    back = [r["review_text"] for r in load_limited_reviews(spark, str(tmp_path / "o" / "limited_reviews")).orderBy("review_id").collect()]
+    assert back == [f"{name} {i}" for name, n in (("a", 400), ("b", 50), ("c", 3)) for i in range(n) if i % 3]
+    assert spark.read.text(str(tmp_path / "o" / "review_errors")).count() == 3
+
+
+def test_author_lists_are_visited_once(spark):
+    rows = [(1, 5), (1, 6), (2, 6), (2, 5), (2, 5), (3, 5), (4, None), (5, 7), (6, 7)]
+    writers = spark.createDataFrame(rows, "book_id long, author_id long")
+    got = {tuple(r["author_ids"]): (r["book_id"], r["n_books"]) for r in resolve.author_worklist(writers).collect()}
+    assert got == {(5, 6): (1, 2), (5,): (3, 1), (7,): (5, 2)}
+    visited = resolve.author_worklist(writers.where("book_id = 6"))
+    assert {tuple(r["author_ids"]) for r in resolve.author_worklist(writers, visited).collect()} == {(5, 6), (5,)}

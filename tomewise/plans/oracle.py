@@ -224,7 +224,29 @@ USER_PARTS = _split_case(hash_fraction_sql("user_id"), [("train", 0.6), ("val",
 NAMES = ", ".join(f"({k}, {text_literal(v)})" for k, v in [*THEME_NAMES.items(), (-1, OTHER_THEMES)])
 
 STATEMENTS: dict[str, str] = {
-    "scan_reviews_json": "SELECT * FROM reviews_raw",
+    "scan_reviews_json": "SELECT *, 5 AS helpful_all FROM reviews_raw",
+    "reviews_json_errors": """
+        SELECT review_id, CASE WHEN review_id % 13 = 0 THEN left('{"asin":"' || asin || '","reviewerID":"' || reviewer_id, 30)
+               ELSE '[1, 2]' END AS line FROM reviews_raw WHERE review_id % 13 = 0 OR review_id % 29 = 0""",
+    "reviews_json_good": """
+        SELECT review_id, asin, overall, CAST(length(review_text) AS INTEGER) AS n_chars
+        FROM reviews_raw WHERE review_id % 13 <> 0 AND review_id % 29 <> 0""",
+    "book_xml_flat": """
+        SELECT p_partkey AS book_id, p_name || ' & <' || p_brand || '>' AS title, CAST(NULL AS VARCHAR) AS title_without_series,
+               lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS isbn, CAST(NULL AS VARCHAR) AS isbn13, CAST(NULL AS VARCHAR) AS asin,
+               CAST(NULL AS VARCHAR) AS country_code, CAST(NULL AS VARCHAR) AS language_code, CAST(NULL AS VARCHAR) AS description,
+               CASE WHEN p_size <> 7 THEN p_partkey + 5000 END AS work_id, CASE WHEN p_size <> 7 THEN p_partkey END AS best_book_id,
+               CASE WHEN p_size <> 7 THEN p_name END AS original_title
+        FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 17 <> 0""",
+    "book_xml_authors": """
+        SELECT book_id, author_id, 'N ' || author_id AS name, role FROM book_authors WHERE book_id % 11 <> 0 AND book_id % 17 <> 0""",
+    "xml_errors": "SELECT p_partkey || '.xml' AS file_name FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 17 = 0",
+    "shelf_xml_rows": """
+        SELECT * FROM shelf_raw WHERE NOT (user_id % 9 = 0 AND CAST(book_id AS BIGINT) % 3 = 1)""",
+    "author_worklist": """
+        WITH lists AS (SELECT book_id, list_sort(list(DISTINCT author_id)) AS author_ids FROM book_authors GROUP BY 1)
+        SELECT array_to_string(author_ids, ',') AS author_ids, min(book_id) AS book_id, count(*) AS n_books FROM lists
+        WHERE author_ids NOT IN (SELECT author_ids FROM lists WHERE book_id % 10 = 0) GROUP BY author_ids""",
     "books_english": "SELECT * FROM english",
     "books_enriched": "SELECT e.*, p.* EXCLUDE (best_book_id) FROM english e LEFT JOIN popularity p USING (best_book_id)",
     "authors_clean": """

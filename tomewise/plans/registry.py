@@ -88,14 +88,56 @@ def recommender(spark: SparkSession, sf: str, **options) -> Recommender:
 def scan_reviews_json(spark, sf):
     fields = ["asin", "reviewerID", "helpful", "overall", "summary", "reviewText", "unixReviewTime"]
     lines = src.reviews_raw(spark, sf).select("review_id", F.to_json(F.struct(*fields)).alias("line"))
-    parsed = lines.select("review_id", F.from_json("line", files.REVIEW_JSON_SCHEMA).alias("r"))
-    return parsed.select(
-        "review_id", "r.asin", F.col("r.reviewerID").alias("reviewer_id"),
-        F.get("r.helpful", F.lit(0)).alias("helpful_yes"), "r.overall", "r.summary",
-        F.col("r.reviewText").alias("review_text"), F.col("r.unixReviewTime").alias("unix_review_time"),
+    return files.parse_reviews(lines).select(
+        "review_id", "review.asin", F.col("review.reviewerID").alias("reviewer_id"),
+        F.get("review.helpful", F.lit(0)).alias("helpful_yes"), F.get("review.helpful", F.lit(1)).alias("helpful_all"),
+        "review.overall", "review.summary", F.col("review.reviewText").alias("review_text"),
+        F.col("review.unixReviewTime").alias("unix_review_time"),
     )
 
 
+@query
+def reviews_json_errors(spark, sf):
+    """Lines that are no reviews, kept and named."""
+    return files.review_errors(files.parse_reviews(src.review_lines(spark, sf)), "review_id")
+
+
+@query
+def reviews_json_good(spark, sf):
+    """The other lines, read in spite of them."""
+    return files.parse_reviews(src.review_lines(spark, sf)).where("review IS NOT NULL").select(
+        "review_id", "review.asin", F.col("review.overall").alias("overall"), F.length("review.reviewText").alias("n_chars"))
+
+
+@query
+def book_xml_flat(spark, sf):
+    return files.flat_books(files.parse_book_pages(src.book_pages(spark, sf)))
+
+
+@query
+def book_xml_authors(spark, sf):
+    return files.book_author_rows(files.parse_book_pages(src.book_pages(spark, sf)))
+
+
+@query
+def xml_errors(spark, sf):
+    return files.page_errors(files.parse_book_pages(src.book_pages(spark, sf)))
+
+
+@query
+def shelf_xml_rows(spark, sf):
+    return files.shelf_rows(src.shelf_pages(spark, sf))
+
+
+@query
+def author_worklist(spark, sf):
+    """Author lists not yet visited; those of every tenth book are."""
+    writers = src.book_authors(spark, sf)
+    visited = resolve.author_worklist(writers.where("book_id % 10 = 0"))
+    found = resolve.author_worklist(writers, visited)
+    return found.select(F.concat_ws(",", F.col("author_ids").cast("array<string>")).alias("author_ids"), "book_id", "n_books")
+
+
 @query
 def books_english(spark, sf):
     return clean.english_books(src.books_detail(spark, sf))

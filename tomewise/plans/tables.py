@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tomewise.functions.tables import stored
 from tomewise.operators import clean, resolve, themes
 from tomewise.sources import files
 
+# Columns of the input files.
 BOOK_COLUMNS = [
     "book_id", "title", "isbn", "isbn13", "country_code", "language_code", "description", "work_id",
     "best_book_id", "original_title",
@@ -38,20 +40,30 @@ def build_tables(
 
 
 def convert_book_xml(spark: SparkSession, xml_path: str, out: str) -> None:
-    """Saved book pages to the CSV folders updated_books, author_books and errors."""
-    files.write_csv(files.read_book_xml(spark, xml_path), f"{out}/updated_books")
-    files.write_csv(files.read_book_authors_xml(spark, xml_path), f"{out}/author_books")
-    files.write_csv(files.read_book_xml_errors(spark, xml_path), f"{out}/errors")
+    """Saved book pages to the CSV folders updated_books, author_books and errors. Each page is parsed once."""
+    parsed = stored(files.parse_book_pages(files.read_pages(spark, xml_path)).select("file_name", "book"), "book-pages")
+    files.write_csv(files.flat_books(parsed), f"{out}/updated_books")
+    files.write_csv(files.book_author_rows(parsed), f"{out}/author_books")
+    files.write_csv(files.page_errors(parsed), f"{out}/errors")
 
 
 def limit_reviews(spark: SparkSession, reviews_json: str, isbn_map: DataFrame, out: str) -> None:
-    """Raw reviews of known books to the headerless CSV folders limited_reviews and limited_ratings."""
-    reviews = files.read_reviews_json(spark, reviews_json)
-    files.write_csv(resolve.limited_reviews(reviews, isbn_map), f"{out}/limited_reviews", header=False)
-    ratings = resolve.limited_review_ratings(reviews, isbn_map).withColumn(
+    """Raw reviews of known books to the headerless CSV folders limited_reviews and limited_ratings.
+
+    Rows stand in the order of the review files: their (file, place) goes through the join, and the part files hold
+    ranges of it. Lines that are no reviews go to the folder review_errors.
+    """
+    parsed = stored(files.read_review_lines(spark, reviews_json), "review-lines")
+    reviews = parsed.where("review IS NOT NULL").select("file", "place", "review.*").drop("_corrupt_record")
+    order = ["file", "place"]
+    rows = resolve.limited_reviews(reviews, isbn_map, order).orderBy(*order).drop(*order)
+    files.write_csv(rows, f"{out}/limited_reviews", header=False)
+    ratings = resolve.limited_review_ratings(reviews, isbn_map, order).orderBy(*order).drop(*order).withColumn(
         "helpful", F.concat(F.lit("["), F.concat_ws(", ", F.col("helpful").cast("array<string>")), F.lit("]"))
     )
     files.write_csv(ratings, f"{out}/limited_ratings", header=False)
+    errors = files.review_errors(parsed, *order).orderBy(*order).select("line")
+    files.write_csv(errors, f"{out}/review_errors", header=False)
 
 
 def load_ratings(spark: SparkSession, ratings_csv: str, books_csv: str | None = None) -> DataFrame:

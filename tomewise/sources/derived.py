@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tomewise.functions.scalars import upper_trim
+from tomewise.functions.skew import spread
 
 FOREIGN_EDITION_OFFSET = 10_000_000
 
@@ -177,3 +178,48 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nullif(F.trim("text"), F.lit("")).alias("reviewText"),
         (F.col("doc_id") * 86400 + 1300000000).alias("unixReviewTime"),
     )
+
+
+def _element(name: str, value, attributes: str = ""):
+    """An XML element, or nothing where the value is null. The text holds no markup, or is escaped already."""
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.lit(f"<{name}{attributes}>"), text, F.lit(f"</{name}>")), F.lit(""))
+
+
+def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved book pages: file_name, page. Books of size 7 have no work, every 11th page is cut off, every 17th malformed."""
+    role = _element("role", F.col("role"))
+    writers = book_authors(spark, sf_dir).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(
+        "author_id", F.concat(F.lit("<author>"), _element("id", F.col("author_id")), _element("name", F.concat(F.lit("N "), F.col("author_id").cast("string"))),
+                              role, F.lit("</author>")).alias("xml")))).alias("w"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    key, typed = F.col("p_partkey"), ' type="integer"'
+    title = F.concat("p_name", F.lit(" &amp; &lt;"), "p_brand", F.lit("&gt;"))
+    work = F.concat(F.lit("<work>"), _element("id", key + 5000, typed), _element("best_book_id", key, typed), _element("original_title", F.col("p_name")), F.lit("</work>"))
+    page = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<Response><Request><key>k</key></Request><book>'), _element("id", key), _element("title", title),
+        _element("isbn", isbn_of("p_partkey")), F.when(F.col("p_size") != 7, work).otherwise(""),
+        F.lit("<authors>"), F.concat_ws("", "w.xml"), F.lit("</authors><similar_books><book><id>1</id><title>Other</title></book></similar_books></book></Response>"))
+    whole = spread(parts.join(writers, key == F.col("book_id")).select("p_partkey", page.alias("page")), "p_partkey")
+    cut = F.when(key % 11 == 0, F.left("page", F.lit(200))).when(key % 17 == 0, F.replace("page", F.lit("</isbn>"), F.lit(""))).otherwise(F.col("page"))
+    return whole.select(F.concat(key.cast("string"), F.lit(".xml")).alias("file_name"), cut.alias("page"))
+
+
+def shelf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved shelf pages: user_id, page_no, page; the second page of every 9th user is cut off."""
+    review = F.concat(
+        F.lit("<review><id>9</id><book>"), _element("id", F.col("book_id"), ' type="integer"'), F.coalesce(_element("isbn", F.col("isbn")), F.lit("<isbn/>")),
+        F.lit("</book>"), _element("rating", F.col("rating")), F.lit("</review>"))
+    number = (F.try_to_number("book_id", F.lit("99999999")) % 3).cast("int")
+    pages = shelf_raw(spark, sf_dir).groupBy("user_id", number.alias("page_no")).agg(F.concat_ws("\n", F.collect_list(review)).alias("rows"))
+    page = F.concat(F.lit('<Response><reviews start="1" end="200">'), "rows", F.lit("</reviews></Response>"))
+    cut = (F.col("user_id") % 9 == 0) & (F.col("page_no") == 1)
+    return pages.select("user_id", "page_no", F.when(cut, F.left(page, F.length(page) - 20)).otherwise(page).alias("page"))
+
+
+def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw reviews as JSON lines: review_id, line; every 13th is cut off, every 29th no object."""
+    fields = ["asin", "reviewerID", "helpful", "overall", "summary", "reviewText", "unixReviewTime"]
+    line, key = F.to_json(F.struct(*fields)), F.col("review_id")
+    bad = F.when(key % 13 == 0, F.left(line, F.lit(30))).when(key % 29 == 0, F.lit("[1, 2]")).otherwise(line)
+    return reviews_raw(spark, sf_dir).select("review_id", bad.alias("line"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BOOK_DETAIL_SCHEMA = (
     "book_id LONG, title STRING, title_without_series STRING, isbn STRING, isbn13 STRING, "
@@ -44,6 +44,9 @@ BOOK_XML_SCHEMA = """
 SHELF_XML_SCHEMA = """
     book STRUCT<id: STRUCT<_VALUE: STRING>, isbn: STRING>, rating INT, _corrupt_record STRING
 """
+SHELF_PAGE_SCHEMA = """
+    review ARRAY<STRUCT<book: STRUCT<id: STRUCT<_VALUE: STRING>, isbn: STRING>, rating: INT>>, _corrupt_record STRING
+"""
 
 
 def read_csv(
@@ -77,10 +80,98 @@ def read_csv(
     return raw.select(*[F.expr(f"try_cast(`{n}` AS {wanted[n].dataType.simpleString()})").alias(n) for n in names])
 
 
+def _parsed_once(rows: DataFrame, name: str, parsed: Column) -> DataFrame:
+    """Rows with a parsed column. As the output of a generator it is made once for each row; a plain column would be
+    parsed again by every filter on it, as filters move below the columns that they read."""
+    return rows.select("*", F.explode(F.array(parsed)).alias(name))
+
+
+def parse_reviews(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """JSON lines with a struct ``review``, null where the line is no well-formed review; the line is kept.
+
+    A line that cannot be parsed, or is no object, is not dropped and does not become a row of nulls.
+    """
+    schema = f"{REVIEW_JSON_SCHEMA}, _corrupt_record STRING"
+    parsed = F.from_json(line_col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    good = F.col("review._corrupt_record").isNull() & F.trim(line_col).startswith("{")
+    return _parsed_once(lines, "review", parsed).withColumn("review", F.when(good, F.col("review")))
+
+
+def review_errors(parsed: DataFrame, *keys: str, line_col: str = "line") -> DataFrame:
+    """The lines of `parse_reviews` that hold no review, blank ones aside."""
+    return parsed.where(F.col("review").isNull() & (F.trim(line_col) != "")).select(*keys, line_col)
+
+
+def read_review_lines(spark: SparkSession, path: str | Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Lines of (gzip) JSON files with their global order, parsed: file, place, line, review.
+
+    A gzip file cannot be split, so its rows are spread after reading. `file` (path and start of the stretch that a task
+    reads) and `place` are made before that: ordered by both, rows stand as in the files, files by path.
+    """
+    lines = spark.read.text(path).select(
+        F.format_string("%s %020d", "_metadata.file_path", "_metadata.file_block_start").alias("file"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+    )
+    return parse_reviews(lines.repartition(partitions) if partitions else lines.hint("rebalance"))
+
+
 def read_reviews_json(spark: SparkSession, path: str | Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Gzip JSON-lines reviews. A gzip file cannot be split, so its rows are spread after reading."""
-    reviews = spark.read.schema(REVIEW_JSON_SCHEMA).json(path)
-    return reviews.repartition(partitions) if partitions else reviews.hint("rebalance")
+    """The well-formed reviews of JSON-lines files with their global order (file, place)."""
+    return read_review_lines(spark, path, partitions).where("review IS NOT NULL").select("file", "place", F.col("review").dropFields("_corrupt_record").alias("review")).select("file", "place", "review.*")
+
+
+def read_review_json_errors(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The malformed lines of JSON-lines files: file_name, line."""
+    found = review_errors(read_review_lines(spark, path), "file", "place")
+    return found.select(F.element_at(F.split(F.element_at(F.split("file", "/"), -1), " "), 1).alias("file_name"), "line")
+
+
+def read_pages(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.xml") -> DataFrame:
+    """Saved XML pages, a row each: file_path, file_name, page."""
+    pages = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    return pages.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("page"))
+
+
+def _with_element(pages: DataFrame, page_col: str, element: str, schema: str, name: str) -> DataFrame:
+    """Pages with an element of theirs as a struct, null where it is missing or malformed."""
+    inner = F.regexp_extract(page_col, f"(?s)<{element}[ >].*</{element}>", 0)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = _parsed_once(pages.withColumn("_inner", inner), name, F.from_xml("_inner", schema, options))
+    good = (F.col("_inner") != "") & F.col(f"{name}._corrupt_record").isNull()
+    return parsed.withColumn(name, F.when(good, F.col(name))).drop("_inner")
+
+
+def parse_book_pages(pages: DataFrame, page_col: str = "page") -> DataFrame:
+    """Pages with a struct ``book``: parsed once, null where the page holds no well-formed book with an id."""
+    parsed = _with_element(pages, page_col, "book", BOOK_XML_SCHEMA, "book")
+    return parsed.withColumn("book", F.when(F.col("book.id").isNotNull(), F.col("book")))
+
+
+def flat_books(parsed: DataFrame) -> DataFrame:
+    """One flat row per book of `parse_book_pages`; elements that are missing become null."""
+    return parsed.where("book IS NOT NULL").select("book.*").select(
+        F.col("id").alias("book_id"), "title", "title_without_series", "isbn", "isbn13", "asin",
+        "country_code", "language_code", "description", F.col("work.id._VALUE").alias("work_id"),
+        F.col("work.best_book_id._VALUE").alias("best_book_id"), F.col("work.original_title").alias("original_title"),
+    )
+
+
+def book_author_rows(parsed: DataFrame) -> DataFrame:
+    """One row per author of a book of `parse_book_pages`; a book without authors yields none."""
+    return parsed.where("book IS NOT NULL").select(F.col("book.id").alias("book_id"), F.explode("book.authors.author").alias("author")).select(
+        "book_id", F.col("author.id").alias("author_id"), F.col("author.name").alias("name"), F.col("author.role").alias("role"))
+
+
+def page_errors(parsed: DataFrame, name_col: str = "file_name") -> DataFrame:
+    """Names of the pages without a well-formed book: malformed, truncated or without one."""
+    return parsed.where("book IS NULL").select(F.col(name_col).alias("file_name"))
+
+
+def shelf_rows(pages: DataFrame, user_col: str = "user_id", page_col: str = "page") -> DataFrame:
+    """user_id, book_id, isbn, rating of every review of every well-formed shelf page; an empty isbn is null."""
+    parsed = _with_element(pages.select(F.col(user_col).alias("user_id"), page_col), page_col, "reviews", SHELF_PAGE_SCHEMA, "_reviews")
+    return parsed.select("user_id", F.explode("_reviews.review").alias("r")).select(
+        "user_id", F.col("r.book.id._VALUE").alias("book_id"), F.nullif("r.book.isbn", F.lit("")).alias("isbn"), "r.rating")
 
 
 def _book_xml(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
