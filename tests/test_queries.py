@@ -7,12 +7,17 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, normal
+from tomewise.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="supplied tables not present")
 
 CHECKED = [
-    "scan_reviews_json", "books_enriched", "authors_clean", "isbn_map_limited", "isbn_map_union", "books_classified",
+    "scan_reviews_json", "reviews_json_errors", "reviews_json_good", "book_xml_flat", "book_xml_authors", "xml_errors",
+    "shelf_xml_rows", "author_worklist", "item_index", "foldin_nonneg_chunked", "foldin_gradient", "foldin_gradient_chunked",
+    "foldin_coverage", "score_items", "score_items_blocked", "recommend_topk_blocked", "recommend_from_als",
+    "predict_from_store", "als_factors", "als_predict", "als_eval", "review_clusters", "cluster_sizes", "cluster_terms",
+    "cluster_titles", "books_enriched", "authors_clean", "isbn_map_limited", "isbn_map_union", "books_classified",
     "ratings_translated", "reviews_limited_full", "unresolved_asins", "resolve_user_shelf", "group_share_display",
     "group_boost", "top_categories", "ratings_profile", "books_per_user", "top_rated_slice", "rmse_overall_top",
     "split_users", "sample_users", "foldin_nonneg", "best_config", "unread_candidates", "rank_similarity",
@@ -39,3 +44,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_query_of_the_library_has_a_statement():
+    assert set(registry.QUERIES) <= set(entry.oracle_sql())

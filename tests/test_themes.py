@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tomewise.functions.text import STOP_WORDS, keep_word, singular, tokens
+from tomewise.functions.text import STOP_WORDS, keep_word, tokens
 from tomewise.operators import themes
 
 
@@ -20,10 +20,25 @@ def test_tokens(spark, text, words):
     assert df.select(tokens("t")).head()[0] == words
 
 
-def test_stop_words_and_singulars(spark):
-    df = spark.createDataFrame([(["the", "books", "of", "glass", "stories", "boxes", "churches", "bus", "gas", "wishes", "houses"],)], "w array<string>")
-    kept = df.select(F.transform(F.filter("w", lambda w: keep_word(w)), singular)).head()[0]
-    assert kept == ["book", "glass", "story", "box", "church", "bus", "gas", "wish", "house"]
+def test_stop_words(spark):
+    df = spark.createDataFrame([(["the", "books", "of", "glass"],)], "w array<string>")
+    assert df.select(F.filter("w", lambda w: keep_word(w))).head()[0] == ["books", "glass"]
+
+
+def test_lemmas_are_words_of_the_corpus(spark):
+    plurals = {
+        "movies": "movie", "cookies": "cookie", "stories": "story", "wolves": "wolf", "lenses": "lens", "boxes": "box",
+        "churches": "church", "wishes": "wish", "houses": "house", "women": "woman", "books": "book", "gases": "gas",
+        "quizzes": "quizzes",
+    }
+    alone = ["series", "species", "specimen", "abdomen", "omen", "glass", "bus", "analysis", "unknowns", "was", "gas"]
+    words = [*plurals, *plurals.values(), *alone, "men", "man"]
+    rows = spark.createDataFrame([(1, w) for w in words], "best_book_id long, word string")
+    got = {r["word"]: r["lemma"] for r in themes.word_lemmas(rows).collect()}
+    assert {w: got[w] for w in plurals} == plurals
+    assert all(got[w] == w for w in alone)
+    assert got["men"] == "men"  # three letters are never cut
+    assert themes.word_lemmas(rows.limit(0)).collect() == []
 
 
 REVIEWS = [(1, 11, "good dragons"), (1, 12, None), (1, 13, "bad dragon, bad"), (2, 21, "good love"), (3, 31, "the of")]
@@ -67,7 +82,7 @@ def test_tfidf_matches_definition_and_vectors(spark, reviews):
     assert labels.count() == 3
     assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, themes.cluster(vectors, 2)[1].collect()))
     terms = themes.cluster_terms(model, vocab, 2, spark).collect()
-    assert all(1 <= r["position"] <= 2 for r in terms) and len(terms) == 2 * len(model.clusterCenters())
+    assert all(1 <= r["position"] <= 2 for r in terms) and len(terms) == 2 * len(model.centers)
 
 
 def test_vocabulary_limit_and_lemma_table(spark, reviews):
@@ -90,3 +105,49 @@ def test_cluster_titles_in_book_order(spark):
 
 def test_stop_list_is_plain_lower_case():
     assert len(STOP_WORDS) == len(set(STOP_WORDS)) and all(w == w.lower() for w in STOP_WORDS)
+
+
+def blobs(spark, n=90):
+    """Three groups of sparse vectors around three pairs of words, and a book without words."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(2)
+    rows = [(i, Vectors.sparse(6, [2 * (i % 3), 2 * (i % 3) + 1], [1 + rng.normal() / 20, 1 + rng.normal() / 20])) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, Vectors.sparse(6, [], []))], themes.VECTOR_SCHEMA)
+
+
+def test_the_cheapest_of_many_starts_is_kept(spark):
+    vectors = blobs(spark).cache()
+    model, labels = themes.cluster(vectors, 4, n_init=6)
+    assert model.cost == min(model.costs) and len(model.costs) == 6
+    groups = {}
+    for r in labels.collect():
+        groups.setdefault(r["k_label"], set()).add(r["book_id"])
+    assert sorted(map(sorted, groups.values())) == sorted([list(range(g, 90, 3)) for g in range(3)] + [[90]])
+    single = themes.cluster(vectors, 4, n_init=1)[0]
+    assert single.costs[0] == pytest.approx(model.costs[0])
+    # Cost and labels follow from the centres alone.
+    rows = {r["best_book_id"]: r["f"] for r in vectors.select("best_book_id", vector_to_array("features").alias("f")).collect()}
+    cost = sum(min(sum((x - y) ** 2 for x, y in zip(f, c)) for c in model.centers) for f in rows.values())
+    assert cost == pytest.approx(model.cost)
+
+
+def test_clusters_of_few_or_no_vectors(spark):
+    vectors = blobs(spark, 2)
+    model, labels = themes.cluster(vectors, 13)
+    assert len(model.centers) == 3 and labels.count() == 3
+    with pytest.raises(ValueError):
+        themes.cluster(vectors.limit(0), 2)
+
+
+def test_nearest_checks_find_wrong_labels(spark, reviews):
+    vectors, vocab = themes.theme_vectors(reviews, 100)
+    counts = themes.lemmatise(themes.term_counts(themes.review_tokens(reviews)))
+    books = themes.reviewed_books(reviews)
+    weights = themes.tfidf_long(counts, themes.vocabulary(counts), books.agg(F.count("*")).scalar())
+    model, labels = themes.cluster(vectors, 3)
+    good = themes.nearest_checks(weights, books, vocab, model, labels, 3).collect()
+    assert len(good) == 3 and all(r["label_in_range"] and r["nearest"] for r in good)
+    moved = labels.withColumn("k_label", (F.col("k_label") + 1) % 3)
+    assert not any(r["nearest"] for r in themes.nearest_checks(weights, books, vocab, model, moved, 3).collect())

@@ -55,20 +55,19 @@ def keep_word(word: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     return ~word.isin("", *stop_words)
 
 
-# Plural endings and what replaces them, first match wins, and endings left alone.
+# Noun endings and what replaces them, and endings that are no plural.
 NOUN_ENDINGS = [
-    ("sses", "ss"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("ies", "y"), ("men", "man"), ("s", ""),
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
 ]
 KEPT_ENDINGS = ["ss", "us", "is"]
 
 
-def singular(word: Column) -> Column:
-    """Suffix rules for plural nouns; words of three letters or fewer stay as they are."""
+def singular_forms(word: Column) -> Column:
+    """Array of what a word may be the plural of; empty for words of three letters or fewer."""
     kept = F.length(word) <= 3
     for ending in KEPT_ENDINGS:
         kept = kept | word.endswith(ending)
-    result = F.when(kept, word)
-    for ending, replacement in NOUN_ENDINGS:
-        stem = F.left(word, F.length(word) - len(ending))
-        result = result.when(word.endswith(ending), F.concat(stem, F.lit(replacement)))
-    return result.otherwise(word)
+    forms = [
+        F.when(word.endswith(old) & ~kept, F.concat(F.left(word, F.length(word) - len(old)), F.lit(new))) for old, new in NOUN_ENDINGS
+    ]
+    return F.array_compact(F.array(*forms))

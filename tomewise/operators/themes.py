@@ -6,20 +6,30 @@ together for them, so a book with very many reviews needs no large row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tomewise.functions.text import STOP_WORDS, keep_word, singular, split_words
+from tomewise.functions.text import STOP_WORDS, keep_word, singular_forms, split_words
 
 MAX_FEATURES = 1000
 CLUSTERS = 13
 SEED = 72
+#: Starts of k-means, passes at most, and the movement of a centre below which a start rests.
+STARTS = 10
+MAX_ITER = 20
+TOLERANCE = 1e-4
+#: Vectors from which the first centres are drawn; vectors measured at once.
+START_SAMPLE = 4096
+ROWS_PER_STEP = 2048
 #: A part of a book's text holds the reviews of a range of 2**12 review ids.
 PART_BITS = 12
 
@@ -54,23 +64,36 @@ def term_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("best_book_id", "word").agg(F.count("*").alias("tf"))
 
 
+def lemma_table(words: DataFrame) -> DataFrame:
+    """(word, lemma) for the words of a column ``word`` that are plurals of others among them.
+
+    The words themselves are the lexicon: a form that an ending rule makes counts only if it occurs, the shortest one
+    wins. So movies goes to movie and not to movy, wolves to wolf, and series or specimen stay as they are.
+    """
+    known = words.select("word").distinct()
+    forms = known.select("word", F.explode(singular_forms(F.col("word"))).alias("form"))
+    found = forms.join(known.select(F.col("word").alias("form")), "form", "left_semi")
+    return found.groupBy("word").agg(F.min(F.struct(F.length("form").alias("n"), "form")).alias("least")).select(
+        "word", F.col("least.form").alias("lemma"))
+
+
 def lemmatise(counts: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """Counts per reduced word: a table (word, lemma) decides, suffix rules handle the rest.
+    """Counts per reduced word: a table (word, lemma) decides, `lemma_table` of the counted words handles the rest.
 
     Reducing counts instead of running text handles each distinct word of a book once.
     """
-    reduced = singular(F.col("word"))
+    found = lemma_table(counts)
     if lemmas is not None:
-        counts = counts.join(lemmas.select("word", "lemma"), "word", "left")
-        reduced = F.coalesce("lemma", reduced)
-    return counts.groupBy("best_book_id", reduced.alias("word")).agg(F.sum("tf").alias("tf"))
+        given = lemmas.select("word", F.col("lemma").alias("given"))
+        found = given.join(found, "word", "full").select("word", F.coalesce("given", "lemma").alias("lemma"))
+    reduced = counts.join(found, "word", "left").withColumn("word", F.coalesce("lemma", "word"))
+    return reduced.groupBy("best_book_id", "word").agg(F.sum("tf").alias("tf"))
 
 
 def word_lemmas(words: DataFrame) -> DataFrame:
     """Distinct words with their reduced form and how often they occur."""
-    return words.groupBy("word").agg(F.count("*").alias("n")).select(
-        "word", singular(F.col("word")).alias("lemma"), "n"
-    )
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counts.join(lemma_table(counts), "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"), "n")
 
 
 def reviewed_books(reviews: DataFrame) -> DataFrame:
@@ -143,7 +166,8 @@ def theme_vectors(
     lemmas: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """TF-IDF vectors per book and the vocabulary in vector order (at most max_features words)."""
-    counts = lemmatise(term_counts(review_tokens(reviews, stop_words)), lemmas).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = term_counts(review_tokens(reviews, stop_words)).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = lemmatise(raw, lemmas).persist(StorageLevel.MEMORY_AND_DISK)
     books = reviewed_books(reviews)
     vocab = vocabulary(counts, max_features)
     words = [r["word"] for r in vocab.collect()]
@@ -151,19 +175,151 @@ def theme_vectors(
     vectors = to_vectors(weights, books, words).persist(StorageLevel.MEMORY_AND_DISK)
     vectors.count()
     counts.unpersist()
+    raw.unpersist()
     return vectors, words
 
 
-def cluster(vectors: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> tuple[KMeansModel, DataFrame]:
-    """k-means model and the theme table (k_label, book_id). Label numbers carry no meaning."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="k_label").fit(vectors)
-    labels = model.transform(vectors).select("k_label", F.col("best_book_id").alias("book_id"))
-    return model, labels
+@dataclass(frozen=True)
+class Themes:
+    """Centres of the best start, its cost, and the costs of all starts."""
+
+    centers: np.ndarray
+    cost: float
+    costs: list[float]
+
+
+def _dense(features: pa.StructArray, size: int) -> np.ndarray:
+    """Rows of a matrix from a column of sparse vectors."""
+    indices, values = features.field("indices"), features.field("values")
+    out = np.zeros((len(features), size))
+    row = pc.list_parent_indices(indices).to_numpy()
+    out[row, indices.flatten().to_numpy()] = values.flatten().to_numpy()
+    return out
+
 
+def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    squares = np.einsum("ij,ij->i", rows, rows)[:, None] + np.einsum("ij,ij->i", centers, centers)[None, :]
+    return np.maximum(squares - 2 * rows @ centers.T, 0)
 
-def cluster_terms(model: KMeansModel, words: list[str], n: int, spark: SparkSession) -> DataFrame:
+
+def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of the sample, each drawn with odds by the squared distance to those before it."""
+    chosen = [int(rng.integers(len(sample)))]
+    near = _distances(sample, sample[chosen])[:, 0]
+    while len(chosen) < k:
+        total = near.sum()
+        chosen.append(int(rng.choice(len(sample), p=near / total)) if total > 0 else int(rng.integers(len(sample))))
+        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
+    return sample[chosen]
+
+
+def _labels(batches: Iterator[pa.RecordBatch], centers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_PER_STEP):
+            part = batch.slice(start, ROWS_PER_STEP)
+            nearest = _distances(_dense(part.column(1), centers.shape[1]), centers).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(nearest, pa.int32()), part.column(0)], ["k_label", "book_id"])
+
+
+def cluster(
+    vectors: DataFrame, k: int = CLUSTERS, seed: int = SEED, n_init: int = STARTS, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
+) -> tuple[Themes, DataFrame]:
+    """k-means from ``n_init`` starts: the cheapest one's centres, and the theme table (k_label, book_id).
+
+    The starts advance together: a pass over the vectors adds up the sums and costs of every centre of every start that
+    still moves, and only those sums (starts x k x words) come to the driver. The first centres are drawn from up to
+    START_SAMPLE vectors in hashed order, all passes read all vectors. A centre that loses its books stays where it is.
+    Label numbers carry no meaning.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select("best_book_id", "features")
+    head = rows.orderBy(F.xxhash64("best_book_id", F.lit(seed)), "best_book_id").limit(START_SAMPLE).toArrow()
+    if not head.num_rows:
+        raise ValueError("there are no vectors to cluster")
+    features = head.column("features").combine_chunks()
+    features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
+    size = features.field("size")[0].as_py()
+    sample = _dense(features, size)
+    k = min(k, len(sample))
+    starts = [_first_centers(sample, k, np.random.default_rng([seed, i])) for i in range(n_init)]
+    costs, moving = [math.inf] * n_init, list(range(n_init))
+    for step in range(max_iter + 1):
+        if not moving:
+            break
+        shared = spark.sparkContext.broadcast(np.concatenate([starts[i] for i in moving]))
+
+        def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centers = shared.value
+            n = len(centers)
+            sums, tally = np.zeros((n, size)), np.zeros((n, 2))
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS_PER_STEP):
+                    dense = _dense(batch.column(1).slice(start, ROWS_PER_STEP), size)
+                    apart = _distances(dense, centers).reshape(len(dense), -1, k)
+                    nearest = apart.argmin(axis=2) + np.arange(n // k) * k
+                    for own, cost in zip(nearest.T, apart.min(axis=2).T):
+                        tally[:, 0] += np.bincount(own, minlength=n)
+                        tally[:, 1] += np.bincount(own, weights=cost, minlength=n)
+                        member = np.zeros((len(dense), n))
+                        member[np.arange(len(dense)), own] = 1
+                        sums += member.T @ dense
+            whole = np.hstack((sums, tally))
+            center, place = np.nonzero(whole)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(center, pa.int32()), pa.array(place, pa.int32()), pa.array(whole[center, place])], ["center", "place", "value"])
+
+        found = rows.mapInArrow(advance, "center int, place int, value double").groupBy("center", "place").agg(F.sum("value").alias("value")).toArrow()
+        shared.destroy()
+        whole = np.zeros((len(moving) * k, size + 2))
+        whole[found["center"].to_numpy(), found["place"].to_numpy()] = found["value"].to_numpy()
+        still = []
+        for nth, i in enumerate(moving):
+            part = whole[nth * k : (nth + 1) * k]
+            costs[i] = float(part[:, -1].sum())
+            held = part[:, -2] > 0
+            new = np.where(held[:, None], part[:, :-2] / np.maximum(part[:, -2], 1)[:, None], starts[i])
+            if step < max_iter and ((new - starts[i]) ** 2).sum(axis=1).max() > tolerance**2:
+                starts[i] = new
+                still.append(i)
+        moving = still
+    best = min(range(n_init), key=lambda i: (costs[i], i))
+    centers = starts[best]
+    labels = rows.mapInArrow(lambda batches: _labels(batches, centers), "k_label int, book_id long")
+    return Themes(centers, costs[best], costs), labels
+
+
+def nearest_checks(weights: DataFrame, books: DataFrame, words: list[str], model: Themes, labels: DataFrame, k: int) -> DataFrame:
+    """(book_id, label_in_range, nearest): whether each book's centre is the nearest to it, from its long weights."""
+    spark = books.sparkSession
+    vocab = spark.createDataFrame(list(enumerate(words)), "idx int, word string")
+    rows = [(i, float(c @ c), [float(x) for x in c]) for i, c in enumerate(model.centers)]
+    centers = F.broadcast(spark.createDataFrame(rows, "center int, square double, c array<double>"))
+    # |x - c|^2 without |x|^2, which all centres share; a book without words has the squares alone.
+    dots = weights.join(F.broadcast(vocab), "word").join(centers.select("center", "c")).groupBy("best_book_id", "center").agg(
+        F.sum(F.col("weight") * F.expr("c[idx]")).alias("dot"))
+    apart = books.join(centers.select("center", "square")).join(dots, ["best_book_id", "center"], "left").select(
+        "best_book_id", "center", (F.col("square") - 2 * F.coalesce("dot", F.lit(0.0))).alias("apart"))
+    least = apart.groupBy("best_book_id").agg(F.min("apart").alias("least"))
+    own = labels.withColumnRenamed("book_id", "best_book_id").join(
+        apart.withColumnRenamed("center", "k_label"), ["best_book_id", "k_label"], "left").join(least, "best_book_id")
+    return own.select(
+        F.col("best_book_id").alias("book_id"), F.col("k_label").between(0, k - 1).alias("label_in_range"),
+        F.coalesce(F.col("apart") <= F.col("least") + 1e-9, F.lit(False)).alias("nearest"))
+
+
+def theme_terms(weights: DataFrame, labels: DataFrame, n: int, decimals: int = 6) -> DataFrame:
+    """The n heaviest words of every theme of a given label table: k_label, position, word, weight (mean over its books)."""
+    named = weights.join(labels.select("k_label", F.col("book_id").alias("best_book_id")), "best_book_id")
+    books = named.groupBy("k_label").agg(F.countDistinct("best_book_id").alias("n"))
+    means = named.groupBy("k_label", "word").agg(F.sum("weight").alias("sum")).join(F.broadcast(books), "k_label")
+    order = Window.partitionBy("k_label").orderBy(F.desc("weight"), "word")
+    return means.select("k_label", "word", F.round(F.col("sum") / F.col("n"), decimals).alias("weight")).withColumn(
+        "position", F.row_number().over(order)).where(F.col("position") <= n).select("k_label", "position", "word", "weight")
+
+
+def cluster_terms(model: Themes, words: list[str], n: int, spark: SparkSession) -> DataFrame:
     """The n heaviest words of every centroid: k values of vocabulary length."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.centers)]
     centers = spark.createDataFrame(rows, "k_label int, weights array<double>")
     vocab = spark.createDataFrame(list(enumerate(words)), "idx int, word string")
     order = Window.partitionBy("k_label").orderBy(F.desc("weight"), "idx")

