@@ -480,3 +480,41 @@ def test_scores_of_awkward_rows(spark):
     assert lmscore.lm_scores(awkward(spark).limit(0), F.lit(True)).count() == 0
     some = {r.doc_id: r for r in lmscore.lm_scores(awkward(spark), F.lit(True), rounds=5).collect()}
     assert some[0].n_tokens == some[1].n_tokens == some[2].n_tokens == 1 and some[5].n_tokens == 30_001
+
+
+def colliding_lines(spark):
+    """Two lines of which the second seems known to a filter that holds the first only."""
+    lines = F.concat(F.lit("line number "), F.col("id").cast("string"))
+    hashed = spark.range(1_500_000).select(F.xxhash64(F.unhex(F.md5(lines))).alias("h")).toArrow()["h"].to_numpy().view(np.uint64)
+    known = CuckooFilter.build(hashed[:1]).contains(hashed[1:])
+    return "line number 0", f"line number {int(np.flatnonzero(known)[0]) + 1}"
+
+
+def test_index_keeps_lines_that_a_filter_knows_by_chance(spark):
+    a, b = colliding_lines(spark)
+    def docs(*rows):
+        return spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = linededup.LineIndex(spark, shards=1).insert(docs((1, a))).insert(docs((2, b)))
+    index.delete(docs((2, "")).select("doc_id"))
+    index.insert(docs((3, a)))
+    assert [(r.refs, r.first_doc, r.last_doc) for r in index.counts.collect()] == [(2, 1, 3)]
+    left = {r.doc_id: r.text for r in index.deduplicate(docs((1, a), (3, a))).collect()}
+    assert left == {1: a, 3: ""}
+
+
+def test_index_after_random_changes_equals_brute_force(spark):
+    """Insertions and deletions in turn, among them lines whose fingerprints collide."""
+    rng = np.random.default_rng(8)
+    lines = [*colliding_lines(spark), *[f"common line {i}" for i in range(6)], "short"]
+    index, held = linededup.LineIndex(spark, shards=1), {}
+    for step in range(4):
+        new = {int(d): "\n".join(rng.choice(lines, 4)) for d in rng.integers(0, 12, 4)}
+        index.insert(spark.createDataFrame(list(new.items()), "doc_id long, text string"))
+        held |= new
+        gone = [int(d) for d in rng.choice(sorted(held), 2, replace=False)]
+        index.delete(spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+        held = {d: t for d, t in held.items() if d not in gone}
+        keys = [r.key for r in index.counts.collect()]
+        assert len(keys) == len(set(keys)) == len({x.lower() for t in held.values() for x in t.split("\n") if len(x) >= 10})
+    got = {r.doc_id: r.text for r in index.deduplicate(spark.createDataFrame(list(held.items()), "doc_id long, text string")).collect()}
+    assert got == {d: t for d, *_, t in lines_by_hand(sorted(held.items()))}

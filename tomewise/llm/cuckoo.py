@@ -14,7 +14,8 @@ class CuckooFilter:
     """Buckets of four 16-bit fingerprints; each key has two buckets, each computable from the other.
 
     `add` never loses a key: when fingerprints cannot be placed, the caller rebuilds a larger filter from its exact
-    table (`add` then returns False). `discard` needs keys that were added, which the exact table guarantees.
+    table (`add` then returns False). A key that the filter seems to know by chance needs a fingerprint of its own all
+    the same, so that `discard`, which takes out one fingerprint of each key, leaves those of other keys alone.
     """
 
     def __init__(self, table: np.ndarray):
@@ -29,7 +30,6 @@ class CuckooFilter:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> "CuckooFilter":
-        keys = np.unique(keys)
         size = len(keys)
         while True:
             made = cls.for_keys(size)
@@ -75,7 +75,7 @@ class CuckooFilter:
         return done
 
     def add(self, keys: np.ndarray) -> bool:
-        """Insert distinct keys; False if some found no place, after which the filter must be rebuilt."""
+        """Insert a fingerprint for each key; False if some found no place, after which the filter must be rebuilt."""
         print_, first, second = self._places(keys)
         done = self._settle(print_, first)
         print_, bucket = print_[~done], second[~done]

@@ -62,7 +62,7 @@ def _screen(new: pa.Table, old: pa.Table) -> pa.Table:
     seen = before.contains(hashed) if before is not None else np.zeros(len(hashed), dtype=bool)
     kept = new.drop_columns(["hash"]).append_column("seen", pa.array(seen))
     kept = kept.append_column("filter", pa.nulls(len(kept), pa.binary()))
-    unseen = np.unique(hashed[~seen])
+    unseen = hashed[~seen]
     if before is None:
         blob = CuckooFilter.build(unseen).to_bytes()
     else:
@@ -77,6 +77,18 @@ def _screen(new: pa.Table, old: pa.Table) -> pa.Table:
     return pa.concat_tables([kept.select(extra.column_names), extra])
 
 
+def _add(keys: pa.Table, old: pa.Table) -> pa.Table:
+    """The filter of one shard with more keys in it; refs is -1 where they found no place."""
+    if not old.num_rows or not keys.num_rows or old.column("filter")[0].as_py() is None:
+        return old
+    grown = CuckooFilter.from_bytes(old.column("filter")[0].as_py())
+    fits = grown.add(keys.column("hash").to_numpy().view(np.uint64))
+    return pa.table({
+        "shard": old.column("shard"), "filter": pa.array([grown.to_bytes() if fits else None], pa.binary()),
+        "refs": pa.array([0 if fits else -1], pa.int64()),
+    })
+
+
 def _build(keys: pa.Table) -> pa.Table:
     made = CuckooFilter.build(keys.column("hash").to_numpy().view(np.uint64))
     return pa.table({"shard": keys.column("shard").slice(0, 1), "filter": pa.array([made.to_bytes()], pa.binary())})
@@ -117,12 +129,19 @@ class LineIndex:
         old = self.filters if self.filters is not None else self.spark.createDataFrame([], FILTERS)
         screened = stored(sums.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_screen, SCREENED), "line-screen")
         fresh = screened.where("key IS NOT NULL").select(*self._columns(COUNTS), "seen")
+        filters = screened.where("key IS NULL").select("shard", "filter", "refs")
         if self.counts is None:
             self.counts = fresh.drop("seen")
         else:
             # Keys that no filter knows are new for certain; only the others meet the exact table.
             met = fresh.where("seen").select(*self._columns(COUNTS))
             known = self.counts.join(met.select("key"), "key", "left_semi").select(*self._columns(COUNTS))
+            # Keys that the exact table does not have were known to a filter by chance: they get their own fingerprints.
+            chance = met.join(self.counts.select("key"), "key", "left_anti").select("shard", F.xxhash64("key").alias("hash"))
+            chance = stored(chance, "line-chance")
+            if not chance.isEmpty():
+                grown = chance.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_add, "shard int, filter binary, refs long")
+                filters = stored(grown, "line-grown")
             merged = known.union(met).groupBy("shard", "key").agg(
                 F.sum("refs").alias("refs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")
             )
@@ -130,7 +149,6 @@ class LineIndex:
             unseen = fresh.where("NOT seen").select(*self._columns(COUNTS))
             self.counts = stored(untouched.union(merged).union(unseen), "line-counts")
         self.refs = new if self.refs is None else stored(self.refs.union(new), "line-refs")
-        filters = screened.where("key IS NULL").select("shard", "filter", "refs")
         if filters.where("refs < 0").limit(1).count():
             rebuilt = self.counts.join(filters.where("refs < 0").select("shard"), "shard", "left_semi")
             rebuilt = rebuilt.select("shard", F.xxhash64("key").alias("hash")).groupBy("shard").applyInArrow(_build, FILTERS)
