@@ -7,21 +7,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tomewise.llm import jaccard, linededup, mixing, pieces, toxicity
 from tomewise.llm.queries import SOURCE_WEIGHTS, TOXIC_FROM, table, toxicity_chain
 
+#: What every stage but the last returns.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain rejects go; the chain is learned from the labels in `sf_dir`."""
+    """Documents that the chain rejects go; the chain is learned from the labels in `sf_dir`.
+
+    Every row is judged by its text alone: null ids and repeated rows change nothing, a null text counts as empty.
+    """
     scored = toxicity.score(docs, toxicity_chain(spark, sf_dir))
-    return scored.where(F.col("p_toxic") < TOXIC_FROM).select("doc_id", "text", "lang", "source", "n_chars")
+    return scored.where(F.col("p_toxic") < TOXIC_FROM).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines stay only in the first document that holds them; n_chars follows the text."""
+    """Lines stay only in the first document that holds them; n_chars follows the text.
+
+    Rows without an id keep all their lines; rows that repeat an id are one document and keep the same lines. A null
+    text stays null, with n_chars null.
+    """
     return linededup.dedup_lines(docs).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS BIGINT) AS n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in shuffled order."""
-    return mixing.mix(docs, SOURCE_WEIGHTS).drop("copy_number")
+    """Documents repeated to the target weights of their sources, in shuffled order.
+
+    Rows of one id share a draw; null ids draw as the text "null". A source without any text keeps each document once.
+    """
+    return mixing.mix(docs.select(*COLUMNS), SOURCE_WEIGHTS).drop("copy_number")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +43,15 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the document with the smallest id stays.
+
+    Rows without an id cannot be told apart by one and pass through unchanged. Rows that are repeated as a whole are
+    kept once. Rows of one id with different texts are one document to the join, and stay or go together.
+    """
     first = jaccard.jaccard_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    # The rows of an id are in one partition already.
+    return kept.dropDuplicates(COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 STAGES = [
