@@ -6,8 +6,6 @@ import sys
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import __spark_entry__ as entry  # noqa: E402
@@ -68,7 +66,7 @@ def test_stages_of_an_empty_table(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
     got = entry.queries()[name](spark, SF).toPandas()
@@ -93,6 +91,47 @@ def test_search_query_recall(spark):
 
 def test_every_operator_is_registered():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
-    assert "pipeline" in names and F.lit(1) is not None
+    assert "pipeline" in names
+
+
+ODD = [
+    (1, "one two three four five six seven eight nine ten", "en", "src0", 48),
+    (2, "one two three four five six seven eight nine ten", "en", "src1", 48),
+    (3, "some other words that nobody else has written down here", "en", "src2", 55),
+    (3, "some other words that nobody else has written down here", "en", "src2", 55),
+    (4, None, "en", "src3", None), (5, "", None, None, 0), (6, "   ", "en", "src3", 3),
+    (None, "a text without an id that no other row has at all", "en", "src4", 49),
+    (None, "one two three four five six seven eight nine ten", "en", "src4", 48),
+    (None, None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", "1 AS n_lines", "'x' AS component_id", "2 AS copy_number", "'y' AS ids", "3 AS node")
+
+
+def test_rows_without_an_id_and_repeated_rows_in_each_stage(spark, odd):
+    stage = dict(pipeline.STAGES)
+    clean = stage["toxicity"](spark, odd, SF)
+    assert clean.columns == COLUMNS and clean.count() == len(ODD)  # a clean corpus loses nothing
+
+    single = stage["line dedup"](spark, odd, SF)
+    assert single.columns == COLUMNS and single.count() == len(ODD)
+    texts = sorted(((r.doc_id, r.text) for r in single.collect()), key=repr)
+    want = [(d, "" if d == 2 else t) for d, t, *_ in ODD]
+    assert texts == sorted(want, key=repr)
+
+    kept = stage["near duplicates"](spark, odd, SF)
+    assert kept.columns == COLUMNS
+    want = [r for i, r in enumerate(ODD) if r[0] != 2 and i != 3]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+    mixed = stage["source mixing"](spark, odd, SF)
+    assert mixed.columns == COLUMNS and {tuple(r) for r in mixed.collect()} <= set(ODD)
+
+    coded = stage["piece encoding"](spark, odd, SF).collect()
+    assert len(coded) == len(ODD) and all(r.round_trip for r in coded)
