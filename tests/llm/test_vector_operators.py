@@ -123,6 +123,51 @@ def test_neighbours_awkward_tables(spark):
     assert crosspoly.nearest(few, F.lit(False)).count() == 0
 
 
+def test_vectors_of_every_length_are_joined_and_searched(spark):
+    df = frame(spark, [(i, [1.0, 0.5 + i, 0.0]) for i in range(5)] + [(10 + i, [1.0, 2.0]) for i in range(3)])
+    links = {r.vec_id: (r.n_links, r.component_id) for r in egojoin.cosine_groups(df).collect()}
+    assert [links[i] for i in (10, 11, 12)] == [(2, 10)] * 3 and all(links[i][1] < 5 for i in range(5))
+    near = [(r.rank, r.vec_id, r.score) for r in crosspoly.nearest(df, F.col("vec_id") == 11).collect()]
+    assert sorted(near) == [(1, 10, 5.0), (2, 12, 5.0)]
+
+
+def test_recall_on_vectors_of_mixed_lengths_with_few_of_the_rows_met(spark):
+    rng = np.random.default_rng(7)
+    rows = rng.normal(0, 1, (8000, 64)) * np.exp(0.3 * rng.normal(0, 1, (8000, 1)))
+    got = crosspoly.nearest(frame(spark, enumerate(rows)), F.col("vec_id") % 80 == 0, k=10, enough=20)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = neighbours_by_hand(list(range(8000)), rows, range(0, 8000, 80), 10)
+    assert np.mean([len(found[q] & {i for i, _ in v}) / 10 for q, v in want.items()]) >= 0.9
+
+
+def test_queries_that_find_too_few_rows_meet_all_rows(spark):
+    rows = np.random.default_rng(8).normal(0, 1, (300, 64))
+    got = crosspoly.nearest(frame(spark, enumerate(rows)), F.col("vec_id") % 10 == 0, k=20, tables=1, probes=1, enough=1)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    want = neighbours_by_hand(list(range(300)), rows, range(0, 300, 10), 20)
+    assert {q: [i for i, _ in v] for q, v in want.items()} == found
+
+
+def test_the_share_of_rows_that_a_query_meets_falls_with_their_number():
+    rng, share = np.random.default_rng(9), []
+    for n in (4000, 64000):
+        rows = rng.normal(0, 1, (n, 64))
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        index = crosspoly.index_for(0, n, 64, 20, crosspoly.TABLES, crosspoly.ENOUGH, 1)
+        assert len(index.widths) == 2
+        met = np.zeros((20, n), dtype=bool)
+        for t in range(index.tables):
+            keys, probed = index.keys(rows, t), index.probed(rows[:20], t, crosspoly.PROBES)
+            assert all(len(set(p)) == crosspoly.PROBES and own in p for own, p in zip(keys[:20], probed))
+            met |= (keys[None, None, :] == probed[:, :, None]).any(axis=1)
+        share.append(met.mean())
+    assert share[1] < 0.5 * share[0] < 0.5
+
+
 def test_rotations_keep_lengths_and_hash_to_the_nearest_axis():
     rows = np.random.default_rng(6).normal(0, 1, (50, 20))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tomewise.llm.tables import components, stored
-from tomewise.llm.vectors import matrix, unit, usable
+from tomewise.llm.vectors import lengths, matrix, unit, usable
 
 COSINE = 0.9
 #: Leading principal dimensions of the grid; the sample that they are taken from.
@@ -200,7 +200,8 @@ def cosine_groups(
     """(vec_id, n_links, component_id, kept) for every id: links with cosine >= `cosine` to other vectors, the smallest
     id reachable by links (its own included), and whether that is its own.
 
-    Null, zero or non-finite vectors link with nothing. Rows that share an id must share their vector and are one
+    Null, zero or non-finite vectors link with nothing; vectors of different lengths do not link, and each length is
+    joined by itself. Rows that share an id must share their vector and are one
     vector; rows with a null id stay, one for all, with null component and not kept. Equal vectors are joined once,
     weighted by how many they are. An empty table gives no rows.
 
@@ -209,20 +210,28 @@ def cosine_groups(
     """
     if not -1 < cosine < 1:
         raise ValueError("the cosine must lie between -1 and 1")
-    spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).cast("long").alias("id")).distinct()
     rows = usable(vectors, id_col, vec_col).dropDuplicates(["id"])
+    found = vectors.sparkSession.createDataFrame([], "id long, n_links long, component_id long")
+    for d in lengths(rows):
+        found = found.union(_linked(rows.where(F.size("vec") == d), cosine, dimensions, interval))
+    out = every.join(found, "id", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _linked(rows: DataFrame, cosine: float, dimensions: int, interval: int) -> DataFrame:
+    """(id, n_links, component_id) of vectors of one length."""
+    spark = rows.sparkSession
     alike = rows.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
     alike = stored(alike, "ego-vectors")
-    n = alike.count()
     width = float(np.sqrt(2 - 2 * cosine))
-    if n:
-        share = max(1, n // SAMPLE_VECTORS)
-        sample = alike.where(F.pmod(F.xxhash64("first", F.lit(3)), F.lit(share)) == 0).select("vec").limit(2 * SAMPLE_VECTORS).toArrow()
-        sample = unit(matrix(sample.column("vec"))) if sample.num_rows else unit(matrix(alike.select("vec").limit(1).toArrow().column("vec")))
-        axes = principal_axes(sample, min(dimensions, sample.shape[1]))
-    else:
-        axes = np.zeros((1, 1))
+    share = max(1, alike.count() // SAMPLE_VECTORS)
+    sample = alike.where(F.pmod(F.xxhash64("first", F.lit(3)), F.lit(share)) == 0).select("vec").limit(2 * SAMPLE_VECTORS).toArrow()
+    sample = unit(matrix(sample.column("vec"))) if sample.num_rows else unit(matrix(alike.select("vec").limit(1).toArrow().column("vec")))
+    axes = principal_axes(sample, min(dimensions, sample.shape[1]))
 
     def place(batches):
         for batch in batches:
@@ -259,12 +268,7 @@ def cosine_groups(
     merged = merged.join(groups, F.col("first") == F.col("node"), "left").select(
         "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "first").alias("component_id"))
-    found = rows.join(merged, "vec").select("id", "n_links", "component_id")
-    out = every.join(found, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return rows.join(merged, "vec").select("id", "n_links", "component_id")
 
 
 def cosine_sql(cosine: float = COSINE) -> str:

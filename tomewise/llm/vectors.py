@@ -7,16 +7,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): rows whose vector is neither null, empty nor zero and holds finite numbers only; null ids are left out.
+#: Different lengths of vectors that one table may hold.
+MAX_LENGTHS = 256
+
 
-    Vectors must share one length: that of the most rows (the larger of two as frequent). Others are left out.
-    """
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec): rows whose vector is neither null, empty nor zero and holds finite numbers only; null ids are left out."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0)).where(~odd & F.exists("vec", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0][0] if sizes else 0))
+    return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0)).where(~odd & F.exists("vec", lambda x: x != 0))
+
+
+def lengths(rows: DataFrame) -> list[int]:
+    """The lengths of the vectors in `vec`, ascending; an error beyond MAX_LENGTHS, as each is a space of its own."""
+    found = sorted(r[0] for r in rows.select(F.size("vec")).distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(found) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} different lengths")
+    return found
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
