@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,24 @@ BAND_SHARE = 0.8
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of every row, scaled to keep lengths; the width is a power of two."""
-    width, h = rows.shape[1], 1
-    while h < width:
-        pairs = rows.reshape(len(rows), -1, 2, h)
-        rows = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(len(rows), -1)
-        h *= 2
-    return rows / np.sqrt(width)
+    """Walsh-Hadamard transform of every row, scaled to keep lengths; the width is a power of two.
+
+    The matrix is the Kronecker product of two of about the root of its width, so a row costs width x 2 root(width).
+    """
+    width = rows.shape[1]
+    left = 1 << ((width.bit_length() - 1) // 2)
+    right = width // left
+    half = rows.reshape(-1, right) @ _hadamard_matrix(right)
+    half = half.reshape(-1, left, right).transpose(0, 2, 1).reshape(-1, left) @ _hadamard_matrix(left)
+    return half.reshape(-1, right, left).transpose(0, 2, 1).reshape(-1, width) / np.sqrt(width)
+
+
+@lru_cache
+def _hadamard_matrix(width: int) -> np.ndarray:
+    out = np.ones((1, 1))
+    while len(out) < width:
+        out = np.block([[out, out], [out, -out]])
+    return out
 
 
 def rotated(rows: np.ndarray, table: int, seed: int) -> np.ndarray:
