@@ -98,8 +98,26 @@ class DoubleArray:
         return tuple(np.concatenate(part) for part in zip(*found))
 
 
+#: A file with a score below this holds ranks: no log probability of a piece is so small.
+RANKS_BELOW = -1000.0
+
+
+def zipf_scores(scores: list[float], kinds: list[str]) -> list[float]:
+    """Log probabilities of ranked pieces: the one at place r, by falling score, has a share in proportion to 1 / r.
+
+    A file of merges scores its pieces by minus their place, which cannot be added up as logarithms. Equal scores share
+    the first of their places. Pieces that are not normal keep theirs.
+    """
+    normal = np.array([k == "normal" for k in kinds])
+    by_fall = -np.array(scores, dtype=np.float64)
+    place = 1 + np.searchsorted(np.sort(by_fall[normal]), by_fall[normal])
+    out = -by_fall
+    out[normal] = -np.log(place) - np.log((1 / place).sum())
+    return out.tolist()
+
+
 class PieceModel:
-    """Vocabulary of a SentencePiece model file with byte fallback, its scores read as unigram log scores."""
+    """Vocabulary of a SentencePiece model file with byte fallback, and unigram log scores of its pieces."""
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], byte_ids: list[int], unknown: int):
         self.unknown, self.byte_ids = unknown, np.array(byte_ids, dtype=np.int32)
@@ -136,6 +154,8 @@ class PieceModel:
             )
             if kinds[-1] == "byte":
                 byte_ids[int(pieces[-1][3:5], 16)] = i
+        if any(s < RANKS_BELOW for s in scores):
+            scores = zipf_scores(scores, kinds)
         return cls(pieces, scores, kinds, byte_ids, model.unk_id())
 
     def _segment(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
