@@ -1,5 +1,6 @@
 """Operators on texts against brute force, exact round trips and held-out accuracy, with awkward rows."""
 
+import collections
 import itertools
 import math
 import random
@@ -430,7 +431,7 @@ def test_scores_are_exact_against_brute_force(spark):
     texts = [" ".join(rng.choice(["the", "The", "of", "cat", "dog", f"w{rng.randrange(50)}"]) for _ in range(rng.randrange(0, 40)))
              for _ in range(120)] + [None, ""]
     docs = frame(spark, texts)
-    got = {r.doc_id: r for r in lmscore.lm_scores(docs, F.col("doc_id") % 4 != 0, model_words=5, sent_words=8, rounds=20).collect()}
+    got = {r.doc_id: r for r in lmscore.lm_scores(docs, F.col("doc_id") % 4 != 0, model_words=5, sent_words=8).collect()}
     tokens = [(t or "").encode().lower().split() + [None] for t in texts]
     counts = {}
     for i, words in enumerate(tokens):
@@ -492,16 +493,58 @@ def test_gru_gradients_match_differences():
 
 def test_model_beats_counts_on_held_out_documents(spark, labelled):
     docs, _ = labelled
-    rows = lmscore.lm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, rounds=200).where("NOT learned").collect()
+    rows = lmscore.lm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).where("NOT learned").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows)
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)  # log10, so less negative is better
 
 
+def test_every_learning_text_reaches_the_weights(spark):
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(1, 2 + i % 60)) for i in range(300)] + [None, ""]
+    docs = frame(spark, texts).repartition(3)
+    scorer, _ = lmscore.count_scorer(lmscore.word_counts(docs), model_words=9, sent_words=12)
+    inputs = lmscore.dealt_inputs(docs, scorer, 2, "doc_id", "text")
+    assert inputs.count() == len(texts) and {r[0] for r in inputs.select("round").distinct().collect()} == {0, 1}
+    got = collections.Counter(tuple(r.ids) for r in inputs.collect())
+    best = scorer.inputs >= 0
+    known = dict(zip(scorer.words[best].tolist(), scorer.inputs[best].tolist()))
+    want = collections.Counter()
+    for t in texts:
+        word, rare, _ = lmscore.word_hashes([(t or "").encode()])
+        want[(*[known.get(w, scorer.model.n_words + c) for w, c in zip(word.tolist(), rare.tolist())], 0)] += 1
+    assert got == want
+    before = scorer.model.copy()
+    trained = lmscore.train_on_all(inputs, scorer.model, (0.01, 0.01))
+    assert all((before.p[k] == scorer.model.p[k]).all() for k in before.p)  # the start is left as it was
+    assert any((before.p[k] != trained.p[k]).any() for k in before.p)
+    # A round in one task is the same as learning from its texts in this process.
+    alone = spark.createDataFrame([(list(t), 0) for t in want], "ids array<int>, round int").coalesce(1)
+    here = before.copy()
+    here.learn(iter([np.concatenate([np.array(r.ids) for r in alone.collect()])]), 0.01)
+    there = lmscore.train_on_all(alone, before, (0.01,))
+    assert all(there.p[k] == pytest.approx(here.p[k], abs=1e-4) for k in here.p)
+
+
+def test_weights_are_means_by_the_tokens_that_moved_them(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "FAN_IN", 2)
+    rng = np.random.default_rng(4)
+    seen = rng.integers(0, 3, (7, 5)).astype(float)
+    seen[:, 4] = 0  # moved by no task
+    weights = rng.normal(0, 1, (7, 5, 3)).astype(np.float32)
+    weights[:, 4] = 2.5
+    parts = spark.createDataFrame(
+        [(t * 3, 0, seen[t].tolist(), weights[t].ravel().tolist()) for t in range(7)],
+        "slot long, part int, seen array<double>, weights array<float>")
+    row = lmscore.mean_weights(parts).collect()
+    assert len(row) == 1 and row[0].seen == seen.sum(axis=0).tolist()
+    want = np.where(seen.sum(0)[:, None] > 0, (seen[..., None] * weights).sum(0) / np.maximum(seen.sum(0), 1)[:, None], weights[0])
+    assert np.reshape(row[0].weights, (5, 3)) == pytest.approx(want, abs=1e-5)
+
+
 def test_scores_of_awkward_rows(spark):
     none = lmscore.lm_scores(awkward(spark), F.lit(False)).collect()
     assert len(none) == 10 and all(r.score == r.base_score == 0 and r.train_tokens == 0 for r in none)
     assert lmscore.lm_scores(awkward(spark).limit(0), F.lit(True)).count() == 0
-    some = {r.doc_id: r for r in lmscore.lm_scores(awkward(spark), F.lit(True), rounds=5).collect()}
+    some = {r.doc_id: r for r in lmscore.lm_scores(awkward(spark), F.lit(True)).collect()}
     assert some[0].n_tokens == some[1].n_tokens == some[2].n_tokens == 1 and some[5].n_tokens == 30_001
 
 

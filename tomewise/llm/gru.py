@@ -7,9 +7,13 @@ inside probabilities, which the caller adds from counts, so the output covers an
 
 from __future__ import annotations
 
+import copy
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 STREAMS = 128
+MOST_STREAMS = 1024
 TRUNCATE = 16
 #: Texts scored side by side, and the states (texts x steps) of a window whose outputs are computed together.
 SCORE_ROWS = 512
@@ -26,9 +30,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax_gradient(x: np.ndarray, every: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Of the loss's mean over `n` tokens by the logits, in their place; and the loss of these rows."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[every, target]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x *= (1 / (n * total))[:, None]
+    x[every, target] -= np.float32(1 / n)
+    return x, float((np.log(total) - picked).sum())
 
 
 class GatedModel:
@@ -76,93 +86,111 @@ class GatedModel:
         c -= 1  # tanh
         return c + z * (h - c), z, r, c, g
 
-    def train(self, ids: np.ndarray, rounds: int, rate: float = 0.01, seed: int = 4) -> float:
-        """Learn from texts written one after the other, each ended by input 0; the last loss (nats per token).
+    def train(self, ids: np.ndarray, rounds: int, rate: float = 0.01) -> float:
+        """`rounds` windows over the ids, from the beginning again where they end; the rate falls. The last loss."""
+        learner, loss, done = Learner(self), float("nan"), 0
+        while done < rounds and len(ids) > 1:
+            for loss in learner.windows(ids, STREAMS, lambda: rate * max(0.02, 1 - done / rounds)):
+                done += 1
+                if done == rounds:
+                    break
+        return loss
+
+    def learn(self, ids: Iterator[np.ndarray], rate: float) -> int:
+        """One pass over runs of whole texts, each text ended by input 0; how many ids there were.
 
-        The ids run through `STREAMS` parallel streams in windows of `TRUNCATE` steps. The state is carried from
-        window to window and starts anew after an end; gradients stop at a window's beginning.
+        A run is cut into streams side by side, so many that there are some 200 windows or as many as `MOST_STREAMS`
+        streams leave: memory is bounded by a run and a window.
         """
+        learner, total, self.seen = Learner(self), 0, np.zeros(len(self.p["input"]))
+        for run in ids:
+            streams = int(np.clip(len(run) // (200 * TRUNCATE), STREAMS // 4, MOST_STREAMS))
+            for _ in learner.windows(run, streams, lambda: rate):
+                pass
+            total += len(run)
+            self.seen += np.bincount(run, minlength=len(self.seen))
+        return total
+
+    def copy(self) -> "GatedModel":
+        """With parameters of its own."""
+        own = copy.copy(self)
+        own.p = {name: v.copy() for name, v in self.p.items()}
+        return own
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens that moved it in `learn`, weights) of each row: the inputs, then the other parameters cut into rows."""
+        width = 3 * self.hidden
+        rest = np.concatenate([v.ravel() for name, v in self.p.items() if name != "input"])
+        rest = np.pad(rest, (0, -len(rest) % width)).reshape(-1, width)
+        return np.concatenate((self.seen, np.full(len(rest), self.seen.sum()))), np.concatenate((self.p["input"], rest))
+
+    def set_rows(self, weights: np.ndarray) -> None:
+        """Take the weights of `rows`, in their order."""
+        at = 0
+        weights = weights.ravel()
+        for name in ["input", *[n for n in self.p if n != "input"]]:
+            v = self.p[name]
+            self.p[name] = weights[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+
+    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """Loss (nats per token), gradients and last state of a window: steps x streams inputs and next tokens."""
         k, p = self.hidden, self.p
-        streams = max(1, min(STREAMS, len(ids) // (2 * TRUNCATE)))
-        width = len(ids) // streams
-        if width < 2:
-            return float("nan")
-        grid = ids[: streams * width].reshape(streams, width)
-        grid = np.column_stack((np.zeros(streams, dtype=grid.dtype), grid))
-        moments = {name: [np.zeros_like(v), np.zeros_like(v)] for name, v in p.items()}
-        h, at, loss, done = np.zeros((streams, k), np.float32), 0, 0.0, 0
-        while done < rounds:
-            if at >= width:
-                at, h = 0, np.zeros_like(h)
-            stop = min(at + TRUNCATE, width)
-            x, y = grid[:, at:stop], grid[:, at + 1 : stop + 1]
-            at, steps = stop, stop - at
-            saved, outs = [], []
-            for t in range(steps):
-                keep = (x[:, t] != 0).astype(np.float32)[:, None]
-                before = h * keep
-                h, z, r, c, g = self._step(p["input"][x[:, t]] + p["bias"], before)
-                saved.append((keep, before, z, r, c, g))
-                outs.append(h)
-            state, target = np.concatenate(outs), y.T.ravel()
-            loss, d_state, grads = self._output_gradients(state, target)
-            d_in = np.zeros((steps, streams, 3 * k), np.float32)
-            d_u, dh = np.zeros_like(p["state"]), np.zeros_like(h)
-            for t in reversed(range(steps)):
-                keep, before, z, r, c, g = saved[t]
-                dh = dh + d_state[t * streams : (t + 1) * streams]
-                dz, dc = dh * (before - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
-                dr = dc * g[:, 2 * k :] * r * (1 - r)
-                d_in[t] = np.concatenate((dz, dr, dc), axis=1)
-                dg = np.concatenate((dz, dr, dc * r), axis=1)
-                d_u += before.T @ dg
-                dh = (dh * z + dg @ p["state"].T) * keep
-            flat = d_in.reshape(-1, 3 * k)
-            grads["state"], grads["bias"] = d_u, flat.sum(0)
-            seen, where = np.unique(x.T.ravel(), return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            begins = np.searchsorted(where[order], np.arange(len(seen)))
-            grads["input"] = (seen, np.add.reduceat(flat[order], begins, axis=0))
-            done += 1
-            self._apply(grads, moments, done, rate * max(0.02, 1 - done / rounds))
-        return loss
+        steps, streams = x.shape
+        inputs = p["input"][x.ravel()]
+        inputs += p["bias"]
+        inputs = inputs.reshape(steps, streams, 3 * k)
+        alive = (x != 0).astype(np.float32)[:, :, None]
+        state, saved = np.empty((steps, streams, k), np.float32), []
+        for t in range(steps):
+            before = h * alive[t]
+            h, z, r, c, g = self._step(inputs[t], before)
+            state[t] = h
+            saved.append((before, z, r, c, g[:, 2 * k :]))
+        loss, d_state, grads = self._output_gradients(state.reshape(-1, k), y.ravel())
+        d_state = d_state.reshape(steps, streams, k)
+        d_in, d_g = np.empty((steps, streams, 3 * k), np.float32), np.empty((steps, streams, 3 * k), np.float32)
+        back, dh = np.ascontiguousarray(p["state"].T), np.zeros((streams, k), np.float32)
+        for t in reversed(range(steps)):
+            before, z, r, c, g = saved[t]
+            dh += d_state[t]
+            dz, dc = dh * (before - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
+            d_in[t, :, :k], d_in[t, :, 2 * k :] = dz, dc
+            d_in[t, :, k : 2 * k] = dc * g * r * (1 - r)
+            d_g[t, :, : 2 * k] = d_in[t, :, : 2 * k]
+            d_g[t, :, 2 * k :] = dc * r
+            dh *= z
+            dh += d_g[t] @ back
+            dh *= alive[t]
+        flat = d_in.reshape(-1, 3 * k)
+        grads["state"] = np.concatenate([s[0] for s in saved]).T @ d_g.reshape(-1, 3 * k)
+        grads["bias"] = flat.sum(0)
+        at = x.ravel()
+        order = np.argsort(at.astype(np.int16) if len(p["input"]) < 1 << 15 else at, kind="stable")
+        begins = np.flatnonzero(np.diff(at[order], prepend=-1))
+        grads["input"] = (at[order][begins], np.add.reduceat(flat[order], begins, axis=0))
+        return loss, grads, h
 
     def _output_gradients(self, state: np.ndarray, target: np.ndarray):
         p, n = self.p, len(target)
-        cls = self.class_of[target]
-        log_class = log_softmax(state @ p["classes"] + p["class_bias"])
-        loss = -log_class[np.arange(n), cls].sum()
-        d = np.exp(log_class)
-        d[np.arange(n), cls] -= 1
-        d /= n
+        order = np.argsort(self.class_of[target].astype(np.int16), kind="stable")
+        state, target = state[order], target[order]
+        cls, slot, every = self.class_of[target], self.slot[target], np.arange(n)
+        d, loss = _softmax_gradient(state @ p["classes"] + p["class_bias"], every, cls, n)
         grads = {"classes": state.T @ d, "class_bias": d.sum(0)}
         d_state = d @ p["classes"].T
         grads["words"], grads["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.n_top + 1))
+        bounds = np.searchsorted(cls, np.arange(self.n_top + 1))
         for i in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[i] : bounds[i + 1]]
-            s, slot = state[rows], self.slot[target[rows]]
-            log_word = log_softmax(s @ p["words"][i] + p["word_bias"][i])
-            loss -= log_word[np.arange(len(rows)), slot].sum()
-            e = np.exp(log_word)
-            e[np.arange(len(rows)), slot] -= 1
-            e /= n
+            rows = slice(bounds[i], bounds[i + 1])
+            s = state[rows]
+            e, more = _softmax_gradient(s @ p["words"][i] + p["word_bias"][i], every[: len(s)], slot[rows], n)
+            loss += more
             grads["words"][i], grads["word_bias"][i] = s.T @ e, e.sum(0)
             d_state[rows] += e @ p["words"][i].T
-        return float(loss) / n, d_state, grads
-
-    def _apply(self, grads: dict, moments: dict, t: int, rate: float) -> None:
-        """Adam steps; of the inputs only the rows seen move. Gradients are clipped by their common length."""
-        square = sum(float((g[1] if isinstance(g, tuple) else g).ravel() @ (g[1] if isinstance(g, tuple) else g).ravel()) for g in grads.values())
-        scale = np.float32(min(1.0, 1.0 / (np.sqrt(square) + 1e-9)))
-        for name, g in grads.items():
-            at, g = g if isinstance(g, tuple) else (slice(None), g)
-            g = g * scale
-            m, v = moments[name]
-            m[at] = 0.9 * m[at] + 0.1 * g
-            v[at] = 0.99 * v[at] + 0.01 * g * g
-            self.p[name][at] -= np.float32(rate) * (m[at] / (1 - 0.9**t)) / (np.sqrt(v[at] / (1 - 0.99**t)) + 1e-6)
+        out = np.empty_like(d_state)
+        out[order] = d_state
+        return loss / n, out, grads
 
     def ready(self) -> "GatedModel":
         """Fold the bias into the inputs before scoring."""
@@ -224,3 +252,52 @@ class GatedModel:
             logits -= top[:, None]
             out[rows] += picked - np.log(np.exp(logits, out=logits).sum(axis=1))
         return out
+
+
+class Learner:
+    """Steps of Adam on a model's parameters; of the inputs only the rows seen move."""
+
+    def __init__(self, model: GatedModel):
+        self.model, self.done = model, 0
+        self.moments = {name: [np.zeros_like(v), np.zeros_like(v)] for name, v in model.p.items()}
+
+    def windows(self, ids: np.ndarray, streams: int, rate: Callable[[], float]) -> Iterator[float]:
+        """Learn from texts written one after the other, each ended by input 0; yields each window's loss.
+
+        The ids run through parallel streams in windows of `TRUNCATE` steps. The state is carried from window to
+        window and starts anew after an end; gradients stop at a window's beginning. What the streams leave over is
+        one more, short stream.
+        """
+        streams = max(1, min(streams, len(ids) // (2 * TRUNCATE)))
+        width = len(ids) // streams
+        for part in (ids[: streams * width].reshape(streams, width), ids[streams * width :][None, :]):
+            grid = np.ascontiguousarray(np.column_stack((np.zeros(len(part), dtype=part.dtype), part)).T)
+            h = np.zeros((len(part), self.model.hidden), np.float32)
+            for at in range(0, part.shape[1], TRUNCATE):
+                stop = min(at + TRUNCATE, part.shape[1])
+                loss, grads, h = self.model._window(grid[at:stop], grid[at + 1 : stop + 1], h)
+                self._apply(grads, rate())
+                yield loss
+
+    def _apply(self, grads: dict, rate: float) -> None:
+        """Gradients are clipped by their common length."""
+        self.done += 1
+        square = sum(float(np.vdot(d, d)) for d in (g[1] if isinstance(g, tuple) else g for g in grads.values()))
+        scale = np.float32(min(1.0, 1.0 / (np.sqrt(square) + 1e-9)))
+        first, second = np.float32(rate / (1 - 0.9**self.done)), np.float32(1 / np.sqrt(1 - 0.99**self.done))
+        for name, g in grads.items():
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            g *= scale
+            m, v = self.moments[name]
+            new_m, new_v = m[at] * np.float32(0.9), v[at] * np.float32(0.99)
+            new_m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            new_v += g
+            m[at], v[at] = new_m, new_v
+            np.sqrt(new_v, out=new_v)
+            new_v *= second
+            new_v += np.float32(1e-6)
+            new_m *= first
+            new_m /= new_v
+            self.model.p[name][at] -= new_m

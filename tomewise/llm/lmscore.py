@@ -1,17 +1,23 @@
-"""Language-model scores of whole texts: corpus counts by Spark, a gated recurrent model over them."""
+"""Language-model scores of whole texts: corpus counts by Spark, a gated recurrent model over them.
+
+The model learns from every document that may be learned from. The documents are dealt to rounds by a hash of their id;
+in a round each task starts from the same weights and runs truncated backpropagation over all texts of its partition,
+and the tasks' weights are averaged, which gives the next round its start.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tomewise.llm.gru import LN10, GatedModel
-from tomewise.llm.samples import first_by_hash, sample_order
-from tomewise.llm.tables import stored
+from tomewise.llm.tables import shared_folder, stored
 from tomewise.llm.words import Words, as_bytes, slices
 
 #: The end of a text, a token like the words.
@@ -21,10 +27,13 @@ MODEL_WORDS = 8192
 SENT_WORDS = 200_000
 #: Classes of the other words, by a hash of their last two bytes.
 RARE_CLASSES = 64
-#: Bound of the sample that the recurrent weights are fitted to. Counts come from all documents.
-SAMPLE_DOCUMENTS = 4000
-SAMPLE_CHARS = 20_000
-TRAIN_ROUNDS = 900
+#: The learning rate of each round that the documents are dealt to; after each the tasks' weights are averaged.
+RATES = (0.02, 0.01, 0.005, 0.002)
+#: Tokens that a task learns from at a time.
+RUN_TOKENS = 2_000_000
+#: Weights of a row of the tasks' tables, in rows of the model; tables that one task averages.
+WEIGHT_ROWS = 1024
+FAN_IN = 32
 MERGE = 2_000_000
 #: Text that is scored at a time.
 SCORE_BYTES = 8 << 20
@@ -96,6 +105,14 @@ class Scorer:
     rare_types: np.ndarray
     model: GatedModel | None
 
+    def ended_inputs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's inputs of each text, the end (0) after its words, and where each text's begin."""
+        word, rare, first = word_hashes(texts)
+        at = np.minimum(np.searchsorted(self.words, word), max(len(self.words) - 1, 0))
+        ids = np.where(self.words[at] == word, self.inputs[at], -1)
+        ids = np.where(ids < 0, self.model.n_words + rare, ids)
+        return np.insert(ids, first[1:], 0), first + np.arange(len(first))
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """For each text: tokens, known ones, sum of log10(count + 1) of the sent words, model's log10 probability but
         for the counts of the words not sent; then those words (hashes and where each text's begin)."""
@@ -127,11 +144,8 @@ def count_step() -> Column:
     return F.floor(F.log2("n") * 16)
 
 
-def fit_scorer(
-    counts: DataFrame, sample: list[bytes], model_words: int = MODEL_WORDS, sent_words: int = SENT_WORDS,
-    rounds: int = TRAIN_ROUNDS,
-) -> tuple[Scorer, int]:
-    """The scorer for the counted words, and the step of counts from which words are sent.
+def count_scorer(counts: DataFrame, model_words: int = MODEL_WORDS, sent_words: int = SENT_WORDS) -> tuple[Scorer, int]:
+    """The scorer for the counted words with an untrained model, and the step of counts from which words are sent.
 
     The driver gets at most `sent_words` words: those from a step of counts that no more than so many reach.
     """
@@ -162,44 +176,122 @@ def fit_scorer(
     rare_tokens -= np.bincount(rare[modelled], weights=n[modelled], minlength=RARE_CLASSES)
     rare_types -= np.bincount(rare[modelled], minlength=RARE_CLASSES)
     model = GatedModel(n[best].astype(float), rare_tokens)
-    scorer = Scorer(words, n, inputs, int(totals[0]), int(totals[1]), rare_tokens, rare_types, model)
-    ids = []
-    for part in slices(sample):
-        word, rare_of, first = word_hashes(sample[part])
-        at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-        id_ = np.where(words[at] == word, inputs[at], -1)
-        ids.append(np.insert(np.where(id_ < 0, len(best) + rare_of, id_), first[1:], 0))
-    if ids:
-        stream = np.concatenate(ids)
-        model.train(stream, min(rounds, max(20, 4 * len(stream) // 2048)))
     model.ready()
-    return scorer, cut
+    return Scorer(words, n, inputs, int(totals[0]), int(totals[1]), rare_tokens, rare_types, model), cut
+
+
+def dealt_inputs(docs: DataFrame, scorer: Scorer, rounds: int, id_col: str, text_col: str) -> DataFrame:
+    """(ids, round): the model's inputs of every whole text, its end last, stored by the round it is dealt to."""
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for part in slices(texts, SCORE_BYTES):
+                ids, first = sent.value.ended_inputs(texts[part])
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(part.start, len(lists))], ["ids", "round"])
+
+    schema = "ids array<int>, round int"
+    dealt = docs.select(text_col, F.pmod(F.xxhash64(id_col, F.lit(9)), F.lit(rounds)).cast("int").alias("round"))
+    path = f"{shared_folder(docs.sparkSession)}/gru-inputs-{uuid.uuid4().hex}"
+    dealt.mapInArrow(run, schema).write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[np.ndarray]:
+    """The inputs of whole texts, one after the other, in runs of `limit` or what the last text makes it."""
+    held, size = [], 0
+    for batch in batches:
+        for one in batch.column(0):
+            held.append(one.values.to_numpy())
+            size += len(held[-1])
+            if size >= limit:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def mean_weights(parts: DataFrame) -> DataFrame:
+    """(part, seen, weights): means of the tasks' weights, each row of the model weighted by the tokens that moved it.
+
+    `parts` holds (slot, part, seen, weights) with a slot for each task. Tables of at most `FAN_IN` tasks are averaged
+    at a time, so no task gathers more, however many tasks there were.
+    """
+
+    def mean(group: pa.Table) -> pa.Table:
+        seen = np.stack([x.values.to_numpy() for x in group.column("seen")])
+        weights = np.stack([x.values.to_numpy() for x in group.column("weights")]).reshape(*seen.shape, -1)
+        total = seen.sum(axis=0)
+        share = np.where(total > 0, seen / np.maximum(total, 1e-300), 1 / len(seen))
+        out = np.einsum("tr,trk->rk", share, weights).astype(np.float32)
+        return pa.table({
+            "slot": group.column("slot").slice(0, 1), "part": group.column("part").slice(0, 1),
+            "seen": pa.array([total], pa.list_(pa.float64())), "weights": pa.array([out.ravel()], pa.list_(pa.float32())),
+        })
+
+    slots = (parts.agg(F.max("slot")).first()[0] or 0) + 1
+    while True:
+        parts = parts.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("long"))
+        parts = parts.groupBy("slot", "part").applyInArrow(mean, "slot long, part int, seen array<double>, weights array<float>")
+        slots = -(-slots // FAN_IN)
+        if slots <= 1:
+            return parts.drop("slot")
+
+
+def train_on_all(inputs: DataFrame, model: GatedModel, rates: tuple[float, ...] = RATES) -> GatedModel:
+    """The model after one pass over all `inputs`, a round for each rate; see the module's docstring.
+
+    A task holds the model, its moments and one run of texts. The driver gets one model a round.
+    """
+    spark = inputs.sparkSession
+    schema = "slot long, part int, seen array<double>, weights array<float>"
+    for k, rate in enumerate(rates):
+        sent = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value.copy()
+            if not own.learn(_runs(batches, RUN_TOKENS), rate):
+                return
+            seen, weights = own.rows()
+            for part, at in enumerate(range(0, len(seen), WEIGHT_ROWS)):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([part], pa.int32()),
+                    pa.array([seen[at : at + WEIGHT_ROWS]], pa.list_(pa.float64())),
+                    pa.array([weights[at : at + WEIGHT_ROWS].ravel()], pa.list_(pa.float32())),
+                ], ["slot", "part", "seen", "weights"])
+
+        parts = stored(inputs.where(F.col("round") == k).select("ids").mapInArrow(run, schema), "gru-weights")
+        found = sorted(mean_weights(parts).collect(), key=lambda r: r.part)  # the size of one model
+        sent.destroy()
+        if found:
+            model = model.copy()
+            model.set_rows(np.concatenate([np.asarray(r.weights, dtype=np.float32) for r in found]))
+    return model.ready()
 
 
 def lm_scores(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS,
-    sample_chars: int = SAMPLE_CHARS, model_words: int = MODEL_WORDS, sent_words: int = SENT_WORDS, rounds: int = TRAIN_ROUNDS,
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", model_words: int = MODEL_WORDS,
+    sent_words: int = SENT_WORDS, rates: tuple[float, ...] = RATES,
 ) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score), one row for each input row.
 
-    `learn` marks the rows to learn from; all of them are counted, and the recurrent weights are fitted to up to
-    `sample_documents` of them with up to `sample_chars` characters. Words are what white space parts, A-Z
+    `learn` marks the rows to learn from; counts and the recurrent weights come from all of them, whole. `rates` are the
+    learning rates of the rounds that they are dealt to. Words are what white space parts, A-Z
     lower-cased, held as 64-bit hashes; the end of the text is a token. base_score is the add-one score of the counts,
     score the model's log10 probability of the whole text. Null and empty texts are their end alone. Without anything
     to learn from, the score is the base score.
 
     Counts of the commonest words go to every task; the other words of a text are joined to the counts by a shuffle,
-    so no vocabulary is too large.
+    so no vocabulary is too large. The weights depend on how the rows are partitioned, as tasks learn apart in a round.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learned"))
     counts = stored(word_counts(rows.where("learned"), "text"), "word-counts")
-    thin = rows.where(F.col("learned") & F.col("doc_id").isNotNull() & (F.length("text") <= sample_chars))
-    known = counts.where(F.col("word") == END).first()
-    thin_ids = thin.select("doc_id", sample_order(F.col("doc_id"), 9).alias("o"))
-    picked = first_by_hash(thin_ids, known["n"] if known else 0, sample_documents)
-    sample = thin.join(F.broadcast(picked.distinct()), "doc_id").select("o", "text").collect()  # bounded above
-    sample = [r[1].encode() for r in sorted(sample, key=lambda r: r[0])]
-    scorer, cut = fit_scorer(counts, sample, model_words, sent_words, rounds)
+    scorer, cut = count_scorer(counts, model_words, sent_words)
+    if scorer.model is not None and rates:
+        inputs = dealt_inputs(rows.where("learned"), scorer, len(rates), "doc_id", "text")
+        scorer = replace(scorer, model=train_on_all(inputs, scorer.model, rates))
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # at most sent_words counts and model_words outputs
     per_token = float(np.log10(scorer.tokens + scorer.types + 1.0))
 
