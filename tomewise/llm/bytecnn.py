@@ -30,13 +30,13 @@ BATCH = 32
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in whole halves, each followed by enough zeros for the last filter position: (bytes, first half of each)."""
+    """Texts in whole halves, each between zeros so wide that no filter lies over two texts: (bytes, first half of each)."""
     size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     halves = (size + WIDTH) // HALF + 1
     first = np.concatenate(([0], np.cumsum(halves)))
     out = np.zeros(first[-1] * HALF + WIDTH, dtype=np.uint8)
     for text, at in zip(texts, (first[:-1] * HALF).tolist()):
-        out[at : at + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        out[at + WIDTH - 1 : at + WIDTH - 1 + len(text)] = np.frombuffer(text, dtype=np.uint8)
     return out, first
 
 
