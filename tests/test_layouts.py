@@ -58,6 +58,39 @@ def test_gradient_equals_rating_by_rating_loop(spark, monkeypatch, chunk_limit,
     assert got.count() == 3
 
 
+@pytest.mark.parametrize("method", [foldin.foldin_nonneg, foldin.foldin_gradient])
+@pytest.mark.parametrize("broadcast_limit", [1, 1 << 27])
+def test_chunks_are_dealt_out_in_one_pass_and_give_the_same_vectors(spark, method, broadcast_limit):
+    """Users with short, long and many chunks; one without an id. No table is written for a range of chunks."""
+    ratings, factors, _, _ = sparse_tables(spark, users=2)
+    few = spark.createDataFrame([(u, i << 20, 4) for u in (7, 8, None) for i in (3, 150, 151, 299)], ratings.schema)
+    ratings = ratings.unionByName(few)
+    want = {(r["user_id"], r["iterations"]): r["features"] for r in method(ratings, factors, [0.02], [1, 3]).collect()}
+    ranges = []
+    stored, foldin.stored = foldin.stored, lambda df, name: ranges.append(name) or stored(df, name)
+    try:
+        found = method(ratings, factors, [0.02], [1, 3], chunk_limit=4, broadcast_limit=broadcast_limit).collect()
+    finally:
+        foldin.stored = stored
+    assert ranges == ["foldin-items"]
+    assert len(found) == len(want) == 10
+    for r in found:
+        np.testing.assert_allclose(r["features"], want[r["user_id"], r["iterations"]], rtol=1e-9)
+
+
+def test_a_short_chunk_travels_as_its_ratings(spark):
+    """A chunk of two ratings needs two vectors, not a map of rank x rank."""
+    ratings, factors, _, _ = sparse_tables(spark)
+    sizes = []
+    whole, foldin._whole_users = foldin._whole_users, lambda parts, *a: sizes.extend(
+        r["n"] for r in parts.select(F.size("a").alias("n")).collect()) or whole(parts, *a)
+    try:
+        assert foldin.foldin_gradient(ratings, factors, [0.02], [3], chunk_limit=2).count() == 3
+    finally:
+        foldin._whole_users = whole
+    assert max(sizes) <= 2 * RANK
+
+
 def test_block_maps_equal_the_composed_maps():
     rng = np.random.default_rng(0)
     v, r = rng.normal(size=(3, 8, 4)), rng.normal(size=(3, 8))
