@@ -143,6 +143,28 @@ def test_store_reads_one_matrix_and_predicts_without_a_model(spark, ratings, tmp
         store.load(5, "train", ITEM)
 
 
+def test_no_vector_travels_with_a_stored_prediction_row(spark, tmp_path):
+    """A row's shuffle holds its keys and columns; repeated rows and ids that a matrix repeats stay as they were."""
+    store = FactorStore(spark, str(tmp_path / "store"))
+    items = spark.createDataFrame([(b, [1.0 * b, 2.0]) for b in (1, 2, 3, 3, 9)], "id long, features array<double>")
+    users = spark.createDataFrame([(u, [0.5, 1.0 * u]) for u in (1, 2)], "id long, features array<double>")
+    store.save(items, 2, "all", ITEM)
+    store.save(users, 2, "all", USER)
+    pairs = [(1, 1), (1, 1), (1, 3), (2, 9), (2, 4), (3, 1), (None, 1), (1, None)]
+    rows = spark.createDataFrame([(u, b, i) for i, (u, b) in enumerate(pairs)], "user_id long, book_id long, rating int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.predict(rows, 2, "all", F.lit(-1.0))
+        nodes = found._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+        got = sorted((r["rating"], r["known"], r["prediction"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = [node for node in nodes if "Exchange" in node.split("\n")[0] and "rating#" in node]
+    assert sent and not [node for node in sent if any(c in node for c in ("_u#", "_v#", "features#"))]
+    assert got == [(0, True, 2.5), (1, True, 2.5), (2, True, 3.5), (2, True, 3.5), (3, True, 8.5)] + [(i, False, -1.0) for i in (4, 5, 6, 7)]
+
+
 def test_optimality_tells_solved_vectors_from_others(spark, ratings):
     model = als.train(ratings, rank=3, max_iter=4)
     solved = als.optimality(ratings, model.userFactors, model.itemFactors)
