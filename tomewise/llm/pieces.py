@@ -22,7 +22,7 @@ MARK = 0xFF
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ ".encode()
-BATCH_BYTES = 2 * BUFFER_BYTES
+BATCH_BYTES = BUFFER_BYTES // 2
 #: Alphabet of the trie: byte + 1, so that 0 is free.
 SYMBOLS = 257
 
