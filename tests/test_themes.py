@@ -94,6 +94,52 @@ def test_vocabulary_limit_and_lemma_table(spark, reviews):
     assert top == ["bad", "dragon"]
 
 
+def test_only_words_of_the_vocabulary_are_counted_per_book(spark):
+    rows = [(b, r, f"movies movie wolf w{b}x{r} cats") for b in range(6) for r in range(3)] + [(9, 1, "the"), (9, 2, None), (8, 1, "wolves cat cats")]
+    reviews = spark.createDataFrame(rows, "best_book_id long, review_id long, review_text string")
+    given = spark.createDataFrame([("cats", "pet"), ("unheard", "movie")], "word string, lemma string")
+    split = themes.review_words(reviews)
+    assert {r["best_book_id"] for r in split.collect()} == {*range(6), 8, 9}
+    for lemmas in (None, given):
+        whole = themes.lemmatise(themes.term_counts(themes.review_tokens(reviews)), lemmas)
+        top = {r["word"]: (r["total"], r["df"]) for r in themes.vocabulary(whole, 3).collect()}
+        counts = themes.vocabulary_counts(split, 3, lemmas)
+        assert {r["word"]: (r["total"], r["df"]) for r in themes.vocabulary(counts, 3).collect()} == top
+        assert sorted(map(tuple, counts.collect())) == sorted(tuple(r) for r in whole.collect() if r["word"] in top)
+
+
+def test_a_pass_adds_up_all_starts_in_one_product(spark, monkeypatch):
+    zeros, made = themes.np.zeros, []
+    batch = blobs(spark).toArrow().to_batches()[0]
+    rows = themes.np.array([[float(i == j) for j in range(6)] for i in range(4)])
+
+    class Frame:
+        """Runs a pass in this process."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def mapInArrow(self, run, schema):
+            if "value" not in schema:
+                return None
+            monkeypatch.setattr(themes.np, "zeros", lambda shape, *a, **k: made.append(shape) or zeros(shape, *a, **k))
+            out = list(run(iter([batch])))
+            monkeypatch.setattr(themes.np, "zeros", zeros)
+            return spark.createDataFrame([r for b in out for r in b.to_pylist()], schema)
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+    class Vectors:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return Frame(blobs(spark).select(*columns))
+
+    model, _ = themes.cluster(Vectors(), len(rows), n_init=5, max_iter=0)
+    assert made.count((batch.num_rows, 20)) == 1 and len(model.costs) == 5
+
+
 def test_cluster_titles_in_book_order(spark):
     labels = spark.range(5000).select(F.when(F.col("id") < 4990, 0).otherwise(1).alias("k_label"), F.col("id").alias("book_id"))
     books = spark.range(5000).select(F.col("id").alias("best_book_id"), F.concat(F.lit("t"), F.col("id")).alias("title"))

@@ -77,16 +77,21 @@ def lemma_table(words: DataFrame) -> DataFrame:
         "word", F.col("least.form").alias("lemma"))
 
 
+def _lemmas(words: DataFrame, lemmas: DataFrame | None) -> DataFrame:
+    """`lemma_table` of the words, with the entries of a given table before its own."""
+    found = lemma_table(words)
+    if lemmas is None:
+        return found
+    given = lemmas.select("word", F.col("lemma").alias("given"))
+    return given.join(found, "word", "full").select("word", F.coalesce("given", "lemma").alias("lemma"))
+
+
 def lemmatise(counts: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """Counts per reduced word: a table (word, lemma) decides, `lemma_table` of the counted words handles the rest.
 
     Reducing counts instead of running text handles each distinct word of a book once.
     """
-    found = lemma_table(counts)
-    if lemmas is not None:
-        given = lemmas.select("word", F.col("lemma").alias("given"))
-        found = given.join(found, "word", "full").select("word", F.coalesce("given", "lemma").alias("lemma"))
-    reduced = counts.join(found, "word", "left").withColumn("word", F.coalesce("lemma", "word"))
+    reduced = counts.join(_lemmas(counts, lemmas), "word", "left").withColumn("word", F.coalesce("lemma", "word"))
     return reduced.groupBy("best_book_id", "word").agg(F.sum("tf").alias("tf"))
 
 
@@ -122,6 +127,32 @@ def tfidf_long(counts: DataFrame, vocab: DataFrame, n_books: Column) -> DataFram
     return raw.select("best_book_id", "word", (F.col("raw") / norm).alias("weight"))
 
 
+def review_words(reviews: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
+    """(best_book_id, words): the kept words of every review that has a text, so that texts are split once."""
+    return reviews.where("review_text IS NOT NULL").select(
+        "best_book_id", F.filter(split_words("review_text"), lambda word: keep_word(word, stop_words)).alias("words"))
+
+
+def vocabulary_counts(words: DataFrame, max_features: int = MAX_FEATURES, lemmas: DataFrame | None = None) -> DataFrame:
+    """(best_book_id, word, tf) of the ``max_features`` words that `vocabulary` takes, reduced as by `lemmatise`.
+
+    ``words`` comes from `review_words`. A word's total needs no book, so totals, lemmas and the vocabulary follow from
+    one count per word; only words that lead to the vocabulary are then counted per book.
+    """
+    totals = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    found = _lemmas(totals, lemmas)
+    named = totals.join(found, "word", "left").select("word", "n", F.coalesce("lemma", "word").alias("lemma")).persist(StorageLevel.MEMORY_AND_DISK)
+    top = named.groupBy("lemma").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lemma").limit(max_features)
+    chosen = named.join(F.broadcast(top), "lemma").select("word", "lemma").toArrow()  # at most a few forms of each word
+    totals.unpersist()
+    named.unpersist()
+    chosen = F.broadcast(words.sparkSession.createDataFrame(chosen.to_pylist(), "word string, lemma string"))
+    return (
+        words.select("best_book_id", F.explode("words").alias("word")).join(chosen, "word")
+        .groupBy("best_book_id", F.col("lemma").alias("word")).agg(F.count("*").alias("tf"))
+    )
+
+
 VECTOR_SCHEMA = StructType([
     StructField("best_book_id", LongType()), StructField("features", VectorUDT()),
 ])
@@ -166,16 +197,16 @@ def theme_vectors(
     lemmas: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """TF-IDF vectors per book and the vocabulary in vector order (at most max_features words)."""
-    raw = term_counts(review_tokens(reviews, stop_words)).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = lemmatise(raw, lemmas).persist(StorageLevel.MEMORY_AND_DISK)
-    books = reviewed_books(reviews)
+    split = review_words(reviews, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = vocabulary_counts(split, max_features, lemmas).persist(StorageLevel.MEMORY_AND_DISK)
+    books = split.select("best_book_id").distinct()
     vocab = vocabulary(counts, max_features)
     words = [r["word"] for r in vocab.collect()]
     weights = tfidf_long(counts, vocab, books.agg(F.count("*")).scalar())
     vectors = to_vectors(weights, books, words).persist(StorageLevel.MEMORY_AND_DISK)
     vectors.count()
     counts.unpersist()
-    raw.unpersist()
+    split.unpersist()
     return vectors, words
 
 
@@ -257,12 +288,12 @@ def cluster(
                     dense = _dense(batch.column(1).slice(start, ROWS_PER_STEP), size)
                     apart = _distances(dense, centers).reshape(len(dense), -1, k)
                     nearest = apart.argmin(axis=2) + np.arange(n // k) * k
-                    for own, cost in zip(nearest.T, apart.min(axis=2).T):
-                        tally[:, 0] += np.bincount(own, minlength=n)
-                        tally[:, 1] += np.bincount(own, weights=cost, minlength=n)
-                        member = np.zeros((len(dense), n))
-                        member[np.arange(len(dense)), own] = 1
-                        sums += member.T @ dense
+                    tally[:, 0] += np.bincount(nearest.ravel(), minlength=n)
+                    tally[:, 1] += np.bincount(nearest.ravel(), weights=apart.min(axis=2).ravel(), minlength=n)
+                    # The starts have centres of their own, so one product adds up all of them.
+                    member = np.zeros((len(dense), n))
+                    member[np.arange(len(dense))[:, None], nearest] = 1
+                    sums += member.T @ dense
             whole = np.hstack((sums, tally))
             center, place = np.nonzero(whole)
             yield pa.RecordBatch.from_arrays(
@@ -291,20 +322,18 @@ def cluster(
 def nearest_checks(weights: DataFrame, books: DataFrame, words: list[str], model: Themes, labels: DataFrame, k: int) -> DataFrame:
     """(book_id, label_in_range, nearest): whether each book's centre is the nearest to it, from its long weights."""
     spark = books.sparkSession
-    vocab = spark.createDataFrame(list(enumerate(words)), "idx int, word string")
-    rows = [(i, float(c @ c), [float(x) for x in c]) for i, c in enumerate(model.centers)]
-    centers = F.broadcast(spark.createDataFrame(rows, "center int, square double, c array<double>"))
+    n, squares = len(model.centers), [float(c @ c) for c in model.centers]
+    along = F.broadcast(spark.createDataFrame(
+        [(word, [float(x) for x in model.centers[:, i]]) for i, word in enumerate(words)], "word string, along array<double>"))
     # |x - c|^2 without |x|^2, which all centres share; a book without words has the squares alone.
-    dots = weights.join(F.broadcast(vocab), "word").join(centers.select("center", "c")).groupBy("best_book_id", "center").agg(
-        F.sum(F.col("weight") * F.expr("c[idx]")).alias("dot"))
-    apart = books.join(centers.select("center", "square")).join(dots, ["best_book_id", "center"], "left").select(
-        "best_book_id", "center", (F.col("square") - 2 * F.coalesce("dot", F.lit(0.0))).alias("apart"))
-    least = apart.groupBy("best_book_id").agg(F.min("apart").alias("least"))
-    own = labels.withColumnRenamed("book_id", "best_book_id").join(
-        apart.withColumnRenamed("center", "k_label"), ["best_book_id", "k_label"], "left").join(least, "best_book_id")
+    dots = weights.join(along, "word").groupBy("best_book_id").agg(
+        F.array(*[F.sum(F.col("weight") * F.col("along")[i]) for i in range(n)]).alias("dots"))
+    apart = F.array(*[F.lit(squares[i]) - 2 * F.coalesce(F.col("dots")[i], F.lit(0.0)) for i in range(n)])
+    own = labels.withColumnRenamed("book_id", "best_book_id").join(books, "best_book_id").join(dots, "best_book_id", "left").select(
+        "best_book_id", "k_label", apart.alias("apart"))
     return own.select(
         F.col("best_book_id").alias("book_id"), F.col("k_label").between(0, k - 1).alias("label_in_range"),
-        F.coalesce(F.col("apart") <= F.col("least") + 1e-9, F.lit(False)).alias("nearest"))
+        F.coalesce(F.get("apart", F.col("k_label")) <= F.array_min("apart") + 1e-9, F.lit(False)).alias("nearest"))
 
 
 def theme_terms(weights: DataFrame, labels: DataFrame, n: int, decimals: int = 6) -> DataFrame:
