@@ -97,6 +97,30 @@ def test_group_shares_and_boost(spark, read):
     assert boosts[(2, "A M")] < boosts[(1, "A M")] < boosts[(3, "A M")]
 
 
+def test_user_group_share_is_one_row_a_user_until_its_end(spark):
+    classified = spark.createDataFrame([
+        (1, 11, "A", "F"), (2, 12, "A", "M"), (2, 13, "B", "F"), (2, 13, "B", "F"), (3, None, "C", "M"), (4, 14, None, "M"), (None, 15, "A", "F"),
+    ], "best_book_id long, author_id long, race string, gender string")
+    ratings = spark.createDataFrame(
+        [(1, 1, 5), (1, 2, 4), (1, 3, 1), (2, 2, 4), (2, 2, 4), (3, 4, 2), (None, 1, 3), (None, 2, 3), (5, None, 3)],
+        "user_id long, book_id long, rating int")
+    mine = groups.user_group_share(ratings, classified)
+    want = {
+        (1, "A F", "A", "F", 1, 0.25), (1, "A M", "A", "M", 1, 0.25), (1, "B F", "B", "F", 2, 0.5), (1, "C M", "C", "M", 0, 0.0),
+        (2, "A M", "A", "M", 2, 1 / 3), (2, "B F", "B", "F", 4, 2 / 3),
+        (None, "A F", "A", "F", 1, 0.25), (None, "A M", "A", "M", 1, 0.25), (None, "B F", "B", "F", 2, 0.5),
+    }
+    assert mine.count() == len(want) and {tuple(r) for r in mine.collect()} == want
+    assert mine.columns == ["user_id", "race_gender", "race", "gender", "n", "share"]
+    # No window over the groups of a user: the pairs read are shuffled by user and nothing after that.
+    assert "Window" not in mine._jdf.queryExecution().sparkPlan().toString()
+    authors = classified.union(spark.createDataFrame([(9, 99, "D", "F")], classified.schema)).drop("best_book_id")
+    assert {tuple(r) for r in groups.user_group_share(ratings, classified, authors=authors).collect()} == want
+    many = groups.user_group_share(ratings, classified, max_sums=2)
+    assert many.dtypes == mine.dtypes and {tuple(r) for r in many.collect()} == want
+    assert groups.user_group_share(ratings, classified.where("race IS NULL")).count() == 0
+
+
 def test_category_shares_and_ties(spark):
     books = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, None)], "best_book_id long, k_label int")
     ratings = spark.createDataFrame([(1, b, 3) for b in (1, 3, 4, 5)], "user_id long, book_id long, rating int")
