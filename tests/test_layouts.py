@@ -173,6 +173,20 @@ def test_optimality_tells_solved_vectors_from_others(spark, ratings):
     assert als.optimality(ratings, moved, model.itemFactors).where("optimal").count() == 0
 
 
+def test_optimality_neither_sorts_ratings_nor_widens_vectors(spark):
+    ratings = spark.createDataFrame(
+        [(1, 1, 5), (1, 2, 1), (2, 2, 4), (2, 9, 1), (3, 1, 2), (3, 1, 2), (None, 1, 3), (1, None, 3)], "user_id long, book_id long, rating int")
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, features array<float>")
+    # Of user 2 the first dimension has no rating, so it must be 0; item 9 has no vector and counts nowhere.
+    users = spark.createDataFrame(
+        [(1, [5 / 1.2, 1 / 1.2]), (2, [0.0, 4 / 1.1]), (3, [4 / 2.4, 0.0]), (4, [1.0, 1.0])], "id int, features array<float>")
+    solved = als.optimality(ratings, users, items)
+    assert sorted(tuple(r) for r in solved.collect()) == [(1, 2, True), (2, 1, True), (3, 2, False)]
+    plan = solved._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    assert "array<double>" not in plan
+
+
 def test_coverage_counts_what_a_grid_leaves_out(spark):
     ratings = spark.createDataFrame([(u, b, 3) for u in range(4) for b in range(5)], "user_id long, book_id long, rating int")
     train = spark.createDataFrame([(b, [1.0, 9.0 * b]) for b in range(1, 4)], "id long, features array<double>")
