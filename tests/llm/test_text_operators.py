@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tomewise.llm import bytecnn, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
+from tomewise.llm import bytecnn, gru, jaccard, langid, linededup, lmscore, mixing, pieces, toxicity
 from tomewise.llm.cuckoo import CuckooFilter
 from tomewise.llm.gru import GatedModel
 from tomewise.llm.tables import components
@@ -474,6 +474,37 @@ def test_gru_is_a_distribution_and_carries_its_state():
     assert whole[0] == pytest.approx(total, rel=1e-4)
 
 
+def test_texts_share_lanes_and_are_scored_each_by_itself(monkeypatch):
+    """Steps are what the lanes hold, not the longest text of every group of them; the state starts anew in each text."""
+    model = GatedModel(np.arange(40, 0, -1).astype(float), np.ones(6))
+    rng = np.random.default_rng(5)
+    model.p["classes"][:], model.p["words"][:] = rng.normal(0, 1, model.p["classes"].shape), rng.normal(0, 1, model.p["words"].shape)
+    model.ready()
+    length = np.array([90, 0, 3, 55, 7, 7, 0, 31, 62, 1, 18, 40, 2, 77, 5, 25])
+    first = np.concatenate(([0], np.cumsum(length)))
+    ids = rng.integers(1, 46, first[-1])
+    alone = [model.log_probabilities(ids[a:b], np.array([0, b - a]))[0] for a, b in zip(first, first[1:])]
+    steps, step = [], model._step
+    monkeypatch.setattr(model, "_step", lambda x, h: steps.append(len(h)) or step(x, h))
+    monkeypatch.setattr(gru, "SCORE_ROWS", 4)
+    monkeypatch.setattr(gru, "SCORE_STATES", 100)
+    found = model.log_probabilities(ids, first)
+    np.testing.assert_allclose(found, alone, rtol=1e-6)
+    assert sum(steps) == length.sum() + len(length)
+    assert len(steps) <= -(-sum(steps) // 4) + 8  # 91 + 63 + 19 + 6 with groups of like length
+    assert model.log_probabilities(ids[:0], np.zeros(1, dtype=int)).shape == (0,)
+
+
+def test_output_far_below_its_bound_is_scored_by_its_largest_logit():
+    state, target = np.array([[1.0, 1.0], [-1.0, -1.0], [0.5, -0.5]], dtype=np.float32), np.array([0, 1, 1])
+    weights, bias = np.array([[90.0, 80.0], [90.0, 85.0]], dtype=np.float32), np.array([0.5, -0.5], dtype=np.float32)
+    logits = state.astype(float) @ weights.astype(float) + bias
+    want = logits[np.arange(3), target] - np.logaddexp(logits[:, 0], logits[:, 1])
+    top = gru._tops(weights, bias)
+    assert (logits <= top).all()
+    np.testing.assert_allclose(gru._log_share(state, weights, bias, top, target), want, rtol=1e-5, atol=1e-6)
+
+
 def test_gru_gradients_match_differences():
     model = GatedModel(np.array([5.0, 4, 3, 2]), np.array([2.0]), hidden=3)
     for name in ("words", "classes"):

@@ -8,6 +8,7 @@ inside probabilities, which the caller adds from counts, so the output covers an
 from __future__ import annotations
 
 import copy
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +16,11 @@ import numpy as np
 STREAMS = 128
 MOST_STREAMS = 1024
 TRUNCATE = 16
-#: Texts scored side by side, and the states (texts x steps) of a window whose outputs are computed together.
+#: Lanes in which texts are scored side by side, and the states (lanes x steps) of a window that are held for its outputs.
 SCORE_ROWS = 512
 SCORE_STATES = 16_384
+#: States whose outputs are computed together: their logits stay in a core's cache from product to sum.
+OUTPUT_ROWS = 1024
 LN10 = np.log(10.0)
 
 
@@ -41,6 +44,46 @@ def _softmax_gradient(x: np.ndarray, every: np.ndarray, target: np.ndarray, n: i
     return x, float((np.log(total) - picked).sum())
 
 
+def _tops(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What no logit of these outputs exceeds, as a state's entries lie in -1 to 1; the outputs are the last axis."""
+    return (np.abs(weights).sum(axis=-2) + bias).max(axis=-1)
+
+
+def _log_share(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, top: np.floating, target: np.ndarray) -> np.ndarray:
+    """Log of each row's target under the softmax of its logits.
+
+    Logits are shifted by their bound `top`, which spares a search for each row's largest; where that leaves too little
+    of a row, the largest are searched for.
+    """
+    every = np.arange(len(state))
+    x = state @ weights
+    x += bias - top
+    picked = x[every, target].astype(float)
+    total = np.exp(x, out=x).sum(axis=1)
+    if not total.min(initial=1) > 1e-20:
+        x = state @ weights + bias
+        x -= x.max(axis=1, keepdims=True)
+        picked = x[every, target].astype(float)
+        total = np.exp(x, out=x).sum(axis=1)
+    return picked - np.log(total)
+
+
+def _lanes(size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts one lane after the other, tokens of each lane): the longest texts first, each to the lane with least so far.
+
+    Lanes are in descending order of their tokens.
+    """
+    lanes = [(0, k) for k in range(min(most, len(size)))]
+    texts: list[list[int]] = [[] for _ in lanes]
+    for text in np.argsort(-size, kind="stable").tolist():
+        load, k = lanes[0]
+        heapq.heapreplace(lanes, (load + int(size[text]), k))
+        texts[k].append(text)
+    lanes.sort(key=lambda lane: (-lane[0], lane[1]))
+    order = [text for _, k in lanes for text in texts[k]]
+    return np.array(order, dtype=np.int64), np.array([load for load, _ in lanes], dtype=np.int64)
+
+
 class GatedModel:
     """Inputs 0 to n_words - 1 are the frequent words, 0 being the end of a text, the others the classes of rare words.
 
@@ -176,7 +219,12 @@ class GatedModel:
         order = np.argsort(self.class_of[target].astype(np.int16), kind="stable")
         state, target = state[order], target[order]
         cls, slot, every = self.class_of[target], self.slot[target], np.arange(n)
-        d, loss = _softmax_gradient(state @ p["classes"] + p["class_bias"], every, cls, n)
+        d, loss = np.empty((n, p["classes"].shape[1]), np.float32), 0.0
+        for at in range(0, n, OUTPUT_ROWS):
+            rows = slice(at, min(at + OUTPUT_ROWS, n))
+            x = np.matmul(state[rows], p["classes"], out=d[rows])
+            x += p["class_bias"]
+            loss += _softmax_gradient(x, every[: len(x)], cls[rows], n)[1]
         grads = {"classes": state.T @ d, "class_bias": d.sum(0)}
         d_state = d @ p["classes"].T
         grads["words"], grads["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
@@ -193,64 +241,68 @@ class GatedModel:
         return loss / n, out, grads
 
     def ready(self) -> "GatedModel":
-        """Fold the bias into the inputs before scoring."""
-        self.folded = self.p["input"] + self.p["bias"]
+        """Fold the bias into the inputs and bound the logits before scoring."""
+        p = self.p
+        self.folded = p["input"] + p["bias"]
+        self.tops = _tops(p["classes"], p["class_bias"]), _tops(p["words"], p["word_bias"])
         return self
 
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each text, its end included: classes, and words inside frequent classes.
 
-        `ids` hold the texts' inputs one after the other, `first` (one longer) where each begins. Texts of like length
-        run side by side in windows; the state is carried across them, so every text is scored whole.
+        `ids` hold the texts' inputs one after the other, `first` (one longer) where each begins. Texts follow each
+        other in lanes of about the same length, which run side by side in windows; the state is carried across windows
+        and starts anew after a text's end, so every text is scored whole and by itself.
         """
-        length = np.diff(first)
-        total = np.zeros(len(length))
-        by_length = np.argsort(-length, kind="stable")
-        for begin in range(0, len(length), SCORE_ROWS):
-            docs = by_length[begin : begin + SCORE_ROWS]
-            size = length[docs] + 1
-            h = np.zeros((len(docs), self.hidden), dtype=np.float32)
-            last = np.zeros(len(docs), dtype=np.int64)
-            sums, every = np.zeros(len(docs)), np.arange(len(docs))
-            at = 0
-            while at < size[0]:
-                n = int(np.searchsorted(-size, -at, side="left"))  # texts that reach into this window
-                steps = min(max(16, SCORE_STATES // n), int(size[0]) - at)
-                place = at + np.arange(steps)[:, None]
-                inside = place < length[docs[:n]]
-                target = np.where(inside, ids[np.minimum(first[docs[:n]] + place, len(ids) - 1)] if len(ids) else 0, 0)
-                states, rows, wanted = [], [], []
-                active = np.searchsorted(-size, -(at + np.arange(steps)), side="left").tolist()
-                for t, n in enumerate(active):
-                    state, *_ = self._step(self.folded[last[:n]], h[:n])
-                    h[:n] = state
-                    last[:n] = target[t, :n]
-                    states.append(state)
-                    rows.append(every[:n])
-                    wanted.append(target[t, :n])
-                rows = np.concatenate(rows)
-                sums += np.bincount(rows, weights=self._log_output(np.concatenate(states), np.concatenate(wanted)), minlength=len(docs))
-                at += steps
-            total[docs] = sums
+        size = np.diff(first) + 1
+        total = np.zeros(len(size))
+        if not len(size):
+            return total
+        order, load = _lanes(size, SCORE_ROWS)
+        owner = np.repeat(order, size[order])
+        ends = np.cumsum(size[order]) - 1
+        tokens = np.zeros(len(owner), dtype=np.int64)
+        words = np.ones(len(owner), dtype=bool)
+        words[ends] = False
+        shift = first[order] - (ends + 1 - size[order])
+        tokens[words] = ids[(np.arange(len(owner)) + np.repeat(shift, size[order]))[words]]
+        begin = np.cumsum(load) - load
+        h = np.zeros((len(load), self.hidden), dtype=np.float32)
+        last = np.zeros(len(load), dtype=np.int64)
+        at = 0
+        while at < load[0]:
+            n = int(np.searchsorted(-load, -at, side="left"))  # lanes that reach into this window
+            steps = min(max(16, SCORE_STATES // n), int(load[0]) - at)
+            place = np.minimum(begin[:n] + (at + np.arange(steps)[:, None]), len(owner) - 1)
+            target, texts, inside = tokens[place], owner[place], words[place]
+            states, rows, wanted = [], [], []
+            active = np.searchsorted(-load, -(at + np.arange(steps)), side="left").tolist()
+            for t, n in enumerate(active):
+                state, *_ = self._step(self.folded[last[:n]], h[:n])
+                h[:n] = state
+                last[:n] = target[t, :n]
+                h[np.flatnonzero(~inside[t, :n])] = 0
+                states.append(state)
+                rows.append(texts[t, :n])
+                wanted.append(target[t, :n])
+            found = self._log_output(np.concatenate(states), np.concatenate(wanted))
+            total += np.bincount(np.concatenate(rows), weights=found, minlength=len(total))
+            at += steps
         return total
 
     def _log_output(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
         p = self.p
         cls = self.class_of[target]
-        logits = state @ p["classes"] + p["class_bias"]
-        top = logits.max(axis=1)
-        out = (logits[np.arange(len(cls)), cls] - top).astype(float)
-        logits -= top[:, None]
-        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        top, tops = self.tops
+        out = np.empty(len(cls))
+        for at in range(0, len(cls), OUTPUT_ROWS):
+            rows = slice(at, at + OUTPUT_ROWS)
+            out[rows] = _log_share(state[rows], p["classes"], p["class_bias"], top, cls[rows])
         order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.n_top + 1))
         for i in np.flatnonzero(np.diff(bounds)):
             rows = order[bounds[i] : bounds[i + 1]]
-            logits = state[rows] @ p["words"][i] + p["word_bias"][i]
-            top = logits.max(axis=1)
-            picked = logits[np.arange(len(rows)), self.slot[target[rows]]] - top
-            logits -= top[:, None]
-            out[rows] += picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+            out[rows] += _log_share(state[rows], p["words"][i], p["word_bias"][i], tops[i], self.slot[target[rows]])
         return out
 
 
@@ -286,18 +338,25 @@ class Learner:
         scale = np.float32(min(1.0, 1.0 / (np.sqrt(square) + 1e-9)))
         first, second = np.float32(rate / (1 - 0.9**self.done)), np.float32(1 / np.sqrt(1 - 0.99**self.done))
         for name, g in grads.items():
-            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            at, g = g if isinstance(g, tuple) else (None, g)
             g *= scale
             m, v = self.moments[name]
-            new_m, new_v = m[at] * np.float32(0.9), v[at] * np.float32(0.99)
-            new_m += np.float32(0.1) * g
+            new_m, new_v = (m, v) if at is None else (m[at], v[at])  # whole tables in place, rows as copies
+            new_m *= np.float32(0.9)
+            new_v *= np.float32(0.99)
+            step = g * np.float32(0.1)
+            new_m += step
             g *= g
             g *= np.float32(0.01)
             new_v += g
-            m[at], v[at] = new_m, new_v
-            np.sqrt(new_v, out=new_v)
-            new_v *= second
-            new_v += np.float32(1e-6)
-            new_m *= first
-            new_m /= new_v
-            self.model.p[name][at] -= new_m
+            if at is not None:
+                m[at], v[at] = new_m, new_v
+            np.sqrt(new_v, out=g)
+            g *= second
+            g += np.float32(1e-6)
+            np.multiply(new_m, first, out=step)
+            step /= g
+            if at is None:
+                self.model.p[name] -= step
+            else:
+                self.model.p[name][at] -= step
