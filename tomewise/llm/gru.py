@@ -44,28 +44,12 @@ def _softmax_gradient(x: np.ndarray, every: np.ndarray, target: np.ndarray, n: i
     return x, float((np.log(total) - picked).sum())
 
 
-def _tops(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """What no logit of these outputs exceeds, as a state's entries lie in -1 to 1; the outputs are the last axis."""
-    return (np.abs(weights).sum(axis=-2) + bias).max(axis=-1)
-
-
-def _log_share(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, top: np.floating, target: np.ndarray) -> np.ndarray:
-    """Log of each row's target under the softmax of its logits.
-
-    Logits are shifted by their bound `top`, which spares a search for each row's largest; where that leaves too little
-    of a row, the largest are searched for.
-    """
-    every = np.arange(len(state))
-    x = state @ weights
-    x += bias - top
-    picked = x[every, target].astype(float)
-    total = np.exp(x, out=x).sum(axis=1)
-    if not total.min(initial=1) > 1e-20:
-        x = state @ weights + bias
-        x -= x.max(axis=1, keepdims=True)
-        picked = x[every, target].astype(float)
-        total = np.exp(x, out=x).sum(axis=1)
-    return picked - np.log(total)
+def _log_share(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of each row's target under the softmax of the logits, which are spent."""
+    top = x.max(axis=1)
+    picked = (x[np.arange(len(x)), target] - top).astype(float)
+    x -= top[:, None]
+    return picked - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _lanes(size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,10 +225,8 @@ class GatedModel:
         return loss / n, out, grads
 
     def ready(self) -> "GatedModel":
-        """Fold the bias into the inputs and bound the logits before scoring."""
-        p = self.p
-        self.folded = p["input"] + p["bias"]
-        self.tops = _tops(p["classes"], p["class_bias"]), _tops(p["words"], p["word_bias"])
+        """Fold the bias into the inputs before scoring."""
+        self.folded = self.p["input"] + self.p["bias"]
         return self
 
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -293,16 +275,19 @@ class GatedModel:
     def _log_output(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
         p = self.p
         cls = self.class_of[target]
-        top, tops = self.tops
         out = np.empty(len(cls))
         for at in range(0, len(cls), OUTPUT_ROWS):
             rows = slice(at, at + OUTPUT_ROWS)
-            out[rows] = _log_share(state[rows], p["classes"], p["class_bias"], top, cls[rows])
+            logits = state[rows] @ p["classes"]
+            logits += p["class_bias"]
+            out[rows] = _log_share(logits, cls[rows])
         order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.n_top + 1))
         for i in np.flatnonzero(np.diff(bounds)):
             rows = order[bounds[i] : bounds[i + 1]]
-            out[rows] += _log_share(state[rows], p["words"][i], p["word_bias"][i], tops[i], self.slot[target[rows]])
+            logits = state[rows] @ p["words"][i]
+            logits += p["word_bias"][i]
+            out[rows] += _log_share(logits, self.slot[target[rows]])
         return out
 
 
